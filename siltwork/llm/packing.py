@@ -6,8 +6,9 @@ documents there are; pieces meet their places by an equi join.
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.common import save
 
-_SPACE = re.compile(r"[ \t\n\r]+")
+_PUNCTUATION = string.punctuation.encode()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,44 +69,99 @@ def minimum_slack(histogram: dict[int, int], capacity: int) -> list[tuple[list[i
 
 
 class WordCache:
-    """Ids of a text, by the ids of its words: the tokenizer never joins across white space."""
+    """Ids of a text, by the ids of its words: the tokenizer never joins across white space.
 
-    def __init__(self, path: str, most: int = 2_000_000):
-        from tokenizers import Tokenizer
+    A word that ends in ASCII punctuation is its head and the punctuation, which the tokenizer splits as well; heads of
+    letters alone are encoded many at a time and told apart by the end-of-word mark of their last token.
+    At ``most`` words are kept; then the cache begins anew.
+    """
 
-        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+    def __init__(self, path: str, most: int = 800_000):
+        from tokenizers import Tokenizer
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_SPACE.split(t) for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.known)
+        self.tok, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self):
+        self.known, self.flat, self.at = {}, array("I"), array("q", [0])
+
+    def put(self, word: bytes, ids) -> None:
+        self.known[word] = len(self.at) - 1
+        self.flat.extend(ids)
+        self.at.append(len(self.flat))
+
+    def learn(self, words: set[bytes]) -> None:
+        split, alone = [], []
+        for w in words:
+            head = w.rstrip(_PUNCTUATION)
+            if head and len(head) < len(w) and 97 <= head[-1] <= 122 and b"<|" not in w:
+                split.append((w, head, w[len(head) :]))
+            else:
+                alone.append(w)
+        fresh = {x for _, h, t in split for x in (h, t)}.union(alone).difference(self.known)
+        letters, other = [], []
+        for w in sorted(fresh):
+            (letters if w.decode().isalpha() else other).append(w)
+        for i in range(0, len(letters), 20_000):
+            part = letters[i : i + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(part) and end[-1] == len(ids):
+                for w, x, y in zip(part, np.r_[0, end[:-1]].tolist(), end.tolist(), strict=True):
+                    self.put(w, ids[x:y].tolist())
+            else:
+                other += part
+        for w, e in zip(other, self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            self.put(w, e.ids)
+        for w, head, tail in split:
+            h, t = self.known[head], self.known[tail]
+            self.put(w, self.flat[self.at[h] : self.at[h + 1]] + self.flat[self.at[t] : self.at[t + 1]])
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        # ASCII is lowered here already, unless a combining mark could compose differently then
+        words = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known, self.flat, self.at = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-            new = {w for ws in words for w in ws}
+            self.clear()
+            new = set().union(*words)
         if new:
-            new = sorted(new)
-            got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g], np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
+            self.learn(new)
+        flat, at = np.array(self.flat, np.uint32), np.array(self.at, np.int64)
         out = []
         for ws in words:
             k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            n = self.at[k + 1] - self.at[k]
+            n = at[k + 1] - at[k]
             end = np.cumsum(n)
-            out.append(self.flat[np.repeat(self.at[k] - end + n, n) + np.arange(end[-1])])
+            out.append(flat[np.repeat(at[k] - end + n, n) + np.arange(end[-1] if len(end) else 0)])
         return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[str]]]:
+_CACHES: dict[str, WordCache] = {}
+
+
+def _cache(path: str | None) -> WordCache:
+    """One cache for each Python worker."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Texts by a few MB, a long one alone."""
     for b in batches:
-        ids, texts, size, part = b.column(0).to_pylist(), b.column(1).to_pylist(), 0, ([], [])
-        for i, t in zip(ids, texts, strict=True):
+        ids, size, part = b.column(0).to_pylist(), 0, ([], [])
+        for i, t in zip(ids, b.column(1), strict=True):
             part[0].append(i)
-            part[1].append(t or "")
+            part[1].append(t.as_py() or b"")
             size += len(part[1][-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield part
                 size, part = 0, ([], [])
         if part[0]:
@@ -116,13 +172,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
     """The pieces of every document: its ids, then ``end_id``, cut every ``capacity`` ids. Null text is empty."""
 
     def run(batches):
-        path = tokenizer
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        cache = WordCache(path)
-        for doc_ids, texts in _batches(batches, path):
+        cache = _cache(tokenizer)
+        for doc_ids, texts in _batches(batches):
             rows = []
             for d, ids in zip(doc_ids, cache.ids(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -132,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, PIECES)
 
 
 def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -> DataFrame:
