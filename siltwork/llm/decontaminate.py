@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.common import save
 
-#: A run of characters that are digits, lower-case ASCII letters or not ASCII, after A-Z are lowered.
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What stands between words: they are runs of digits, lower-case ASCII letters and characters beyond ASCII, after A-Z are lowered.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """Words of a text; null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), BETWEEN), "")
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -58,7 +58,7 @@ def document_counts(docs: DataFrame, vocabulary: DataFrame, limit: int) -> DataF
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, inline_tokens: int = 50_000) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``uid``-free.
+    """Per document: ``doc_id, n_words, n_hit, n_items, items, contaminated`` (``items``: their ids, sorted).
 
     ``n_hit`` counts the document words inside any occurrence of a window; contaminated when ``n_hit > 0`` and
     ``share * n_hit >= n_words``. Item words and prefix tokens are put into the plan as a set when there are at

@@ -150,11 +150,13 @@ class Model:
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
     """At most ``per_language`` rows of each language, those with the smallest text hash: the same at every run."""
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("n"))
+    counts = labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()  # a row for each language label
     # a rate that leaves a few times the bound, so that no task sorts a whole language
-    x = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    x = x.join(counts.toDF("lang", "n"), "lang")
-    x = x.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) * F.col("n") < 3 * per_language + 200)
+    rate = F.lit(1.0)
+    for row in counts:
+        rate = F.when(F.col(lang) == row[lang], min(1.0, (3 * per_language + 200) / row["n"])).otherwise(rate)
+    x = labelled.withColumn("__h", F.xxhash64(text)).where(F.pmod("__h", F.lit(1 << 30)) / (1 << 30) < rate)
+    x = x.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col("__h").alias("h"))
     # copies of one text have one hash: each text once
     x = x.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     r = x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))

@@ -38,8 +38,8 @@ TYPES = {
     "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? (?:{_NAME})(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME})(?![\p{{L}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
-#: Texts without these can hold no entity.
-GATE = rf"[0-9@]|eyJ|(?:{_TITLE}|{_GIVEN})\b|(?i:key|token|secret|passw)"
+#: A title or given name at the start of a word; what starts with no capital is passed over by its first character.
+_NAMED = rf"(?=[A-ZА-Яг])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
 _LATIN = ("ba be bi bo da de di do fa fe fi ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se so ta te ti to va ve vi za zo".split(), ("s", "n", "r", "l", "m", "k", "t", "d"))
 _CYRILLIC = ("ба бе би бо да де ди до фа га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се со та те ти то ва ве ви за зо".split(), ("в", "н", "р", "л", "м", "к", "т", "с"))
 
@@ -47,7 +47,9 @@ _CYRILLIC = ("ба бе би бо да де ди до фа га го ка ке 
 def mentions(text: Column) -> Column:
     """Mentions of a text in order; none for null."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # every type but names and some tokens has a digit or an @
+    possible = t.rlike("[0-9@]") | t.contains("eyJ") | t.rlike(_NAMED)
+    return F.when(possible, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind(mention: Column) -> Column:
@@ -211,7 +213,10 @@ def attempts(found: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
         df = df.withColumn("drawn", F.get(surrogates(F.array("shown"), F.array("attempt"), key), F.lit(0))["new"])
         return df.withColumn("drawn", normal(F.col("drawn"), F.col("type")))
 
-    draw = save(shape(found.select("type", "norm", "shown").withColumn("attempt", F.lit(0))), "draw")
+    # the tables are small in bytes, the draws are not cheap: as many tasks as a shuffle has
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(tasks, "type", "norm")
+    draw = save(shape(spread(found.select("type", "norm", "shown")).withColumn("attempt", F.lit(0))), "draw")
     held = None
     for k in range(1, max_rounds + 1):
         w = Window.partitionBy("type", "drawn").orderBy("norm")
@@ -227,7 +232,7 @@ def attempts(found: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
         lost = ranked.where("not good").select("type", "norm", "shown")
         if lost.isEmpty():
             break
-        draw = save(shape(lost.withColumn("attempt", F.lit(k))), "draw")
+        draw = save(shape(spread(lost).withColumn("attempt", F.lit(k))), "draw")
     else:
         raise RuntimeError(f"entities still share surrogates after {max_rounds} draws")
     return held.where("attempt > 0").select("type", "norm", "attempt")
