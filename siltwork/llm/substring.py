@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 4 << 20)
     """
     block = width // 2
     d, n = in_chunks(docs, chunk_bytes)
-    n_buckets = n
+    n_buckets = max(1, n // 2)
 
     def anchors(table):
         """Sorted ``hash << 1 | is a reference block`` of all probes, and whether two documents hold it."""

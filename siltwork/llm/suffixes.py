@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
     if width <= REACH + GRAM:
         raise ValueError(f"width must exceed {REACH + GRAM}")
     d, n = in_chunks(docs, chunk_bytes)
-    n_buckets = n
+    n_buckets = max(1, n // 2)
 
     def probe(key, table):
         f = [x.fingerprints(width) >> U(64 - _BITS) for _, _, x in _segments_of(table, width)]
