@@ -24,7 +24,7 @@ from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
 from siltwork.llm.common import NULL_ID, components, save
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
-SMALL, BLOCK = 16, 1024
+SMALL, BLOCK = 16, 2048
 
 
 def shingle_sets(table, width: int):
@@ -42,13 +42,16 @@ def shingle_sets(table, width: int):
                 yield whole[r : r + 1] if w.count[r] else np.zeros(0, U)
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    return int(s.sum(dtype=U)) - 2**63, int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) - 2**63
+
+
 def _sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
             for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width), strict=True):
-                hi, lo = int(s.sum(dtype=U)), int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
-                rows.append((d, len(s), hi - 2**63, lo - 2**63, s[:k].tobytes()))
+                rows.append((d, len(s), *_set_hash(s), s[:k].tobytes()))
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "hi", "lo", "sketch"])
 
@@ -63,33 +66,35 @@ def _need(n: int, k: int, share: float) -> int:
     return max(1, math.floor(share * k - 6.5 * math.sqrt(k * share * (1 - share))))
 
 
-def _listed(reps: DataFrame, k: int, share: float, hot: dict[int, int]) -> DataFrame:
-    """``value, id, hubness``: the prefix of each sketch, very common values last."""
-    spark = reps.sparkSession
+def _broadcast(reps: DataFrame, hot: dict[int, int]):
     keys = np.array(sorted(hot), dtype=np.int64)
-    known = spark.sparkContext.broadcast((keys, np.array([hot[x] for x in keys.tolist()], dtype=np.int64)))
+    return reps.sparkSession.sparkContext.broadcast((keys, np.array([hot[x] for x in keys.tolist()], dtype=np.int64)))
+
+
+def _prefix(sketch: bytes, n: int, k: int, share: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The values that a sketch is listed under: very common ones come last."""
+    v, (keys, n_of) = np.frombuffer(sketch, U).view(np.int64), hot
+    if not len(v):
+        return v
+    p = len(v) - min(_need(n, k, share), len(v)) + 1
+    if not len(keys):
+        return v[:p]
+    at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
+    return v[np.argsort(np.where(keys[at] == v, n_of[at], 0), kind="stable")[:p]]
+
+
+def _listed(reps: DataFrame, k: int, share: float, known) -> DataFrame:
+    """``value, id``: the prefix of each sketch."""
 
     def run(batches):
-        keys, n_of = known.value
+        hot = known.value
         for b in batches:
-            out_v, out_i, out_h = [], [], []
-            for i, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v = np.frombuffer(s, U).view(np.int64)
-                if not len(v):
-                    continue
-                common = np.zeros(len(v), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                    common = np.where(keys[at] == v, n_of[at], 0)
-                p = len(v) - min(_need(n, k, share), len(v)) + 1
-                pick = np.argsort(common, kind="stable")[:p]
-                out_v.append(v[pick])
-                out_i.append(np.full(len(pick), i))
-                out_h.append(np.full(len(pick), np.count_nonzero(common)))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(out_v), cat(out_i), cat(out_h)], names=["value", "id", "hubness"])
-
-    return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long, hubness long")
+            ids = b.column(0).to_numpy()
+            got = [_prefix(s, n, k, share, hot) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            values = np.concatenate(got) if got else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(np.repeat(ids, [len(g) for g in got]), pa.int64())], names=["value", "id"])
+
+    return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataFrame:
@@ -118,20 +123,19 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets."""
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "hi", "lo"), "id"), "ids")
+    # ids alone, so that Spark broadcasts them while they are few, and the texts are not shuffled
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
     def sets(batches):
         for b in batches:
-            keep, out = b.column(0).to_pylist(), []
-            for want, s in zip(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), shingle_sets(b.column(3), width), strict=True):
-                hi, lo = int(s.sum(dtype=U)) - 2**63, int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) - 2**63
-                out.append(s.tobytes() if (hi, lo) == want else None)
-            t = pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary())], names=["id", "s"])
-            yield t.filter(t.column(1).is_valid())
+            full = list(shingle_sets(b.column(1), width))
+            hashes = [_set_hash(s) for s in full]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in full], pa.binary())], names=["id", "hi", "lo", "s"])
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    full = d.join(ids, "id").select("id", "hi", "lo", "text").mapInArrow(sets, "id long, s binary")
-    full = save(full.dropDuplicates(["id"]), "sets")
+    full = save(d.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hi long, lo long, s binary"), "full")
+    # rows with one doc_id and several texts: the one that the sketch is of
+    full = full.join(reps.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi").select("id", "s").dropDuplicates(["id"])
 
     def run(batches):
         for b in batches:
@@ -146,27 +150,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(lists: DataFrame, reps: DataFrame, k: int, share: float) -> DataFrame:
-    """Pairs of different components in lists of ``value, id, label, n`` with enough common retained values."""
+def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> DataFrame:
+    """Pairs of different components in lists of ``value, id, label, n`` with enough common retained values.
+
+    In long lists a pair comes from the first of the lists that both are in.
+    """
     few = lists.where(F.col("n") <= SMALL).groupBy("value").agg(F.collect_list(F.struct("id", "label")).alias("m"))  # at most SMALL
     x, y = F.col("x"), F.col("y")
     few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where((x["id"] < y["id"]) & (x["label"] != y["label"])).select(x["id"].alias("a"), y["id"].alias("b"))
 
+    def common(values: list[np.ndarray], rows: np.ndarray, cols: np.ndarray):
+        """Function of a part of ``rows``: how many values each has in common with each of ``cols``."""
+        u, code, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        shared = np.flatnonzero(n > 1)
+        new = np.full(len(u), -1)
+        new[shared] = np.arange(len(shared))
+        code = new[code]
+        owner, code = owner[code >= 0], code[code >= 0]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+
+        def of(part: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(part), len(cols)), np.float32)
+            for at in range(0, len(shared), 2048):  # some columns at a time
+                x, y = np.searchsorted(code, [at, at + 2048])
+                m = np.zeros((len(values), 2048), np.float32)
+                m[owner[x:y], code[x:y] - at] = 1
+                total += m[part] @ m[cols].T
+            return total
+
+        return of
+
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, labels, part = (table[c].to_numpy() for c in ("id", "label", "block"))
-        sk = [np.frombuffer(s, U) for s in table["sketch"].to_pylist()]
-        n = table["n_set"].to_numpy()
-        u, code = np.unique(np.concatenate(sk), return_inverse=True)
-        m = np.zeros((len(sk), len(u)), np.float32)
-        m[np.repeat(np.arange(len(sk)), [len(s) for s in sk]), code] = 1
-        need = np.array([min(_need(int(v), k, share), len(s)) for v, s in zip(n, sk, strict=True)])
+        value, i, j = (x.as_py() for x in key)
+        ids, labels, part, n = (table[c].to_numpy() for c in ("id", "label", "block", "n_set"))
+        sketches = table["sketch"].to_pylist()
+        sk = [np.frombuffer(s, U) for s in sketches]
+        before = [(p := _prefix(s, int(m), k, share, known.value))[p < value] for s, m in zip(sketches, n, strict=True)]
+        need = np.array([min(_need(int(m), k, share), len(s)) for m, s in zip(n, sk, strict=True)])
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        out_a, out_b = [], []
-        for at in range(0, len(rows), 256):
-            r = rows[at : at + 256]
-            both = m[r] @ m[cols].T
-            ok = (both >= np.minimum(need[r][:, None], need[cols])) & (labels[r][:, None] != labels[cols]) & (ids[r][:, None] < ids[cols] if i == j else True)
+        retained, earlier = common(sk, rows, cols), common(before, rows, cols)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(rows), 512):
+            r = rows[at : at + 512]
+            ok = (labels[r][:, None] != labels[cols]) & (ids[r][:, None] < ids[cols] if i == j else True)
+            if ok.any():
+                ok &= retained(r) >= np.minimum(need[r][:, None], need[cols])
+            if ok.any():
+                ok &= earlier(r) == 0
             p, q = np.nonzero(ok)
             out_a.append(ids[r[p]])
             out_b.append(ids[cols[q]])
@@ -196,11 +228,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     reps = classes.select(F.col("rep").alias("id"), "n", "hi", "lo", "sketch").dropDuplicates(["id"])
     total = reps.count()
     often = max(64, total // 2000)
-    first = _listed(reps, k, share, {}).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
+    first = _listed(reps, k, share, _broadcast(reps, {})).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
     hot = {r["value"]: r["c"] for r in first.collect()}  # at most 2000 * k values
-    rows = save(_listed(reps, k, share, hot), "lists")
-    lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.max_by("id", F.struct("hubness", -F.col("id"))).alias("hub")).where("n > 1")
+    known = _broadcast(reps, hot)
+    rows = save(_listed(reps, k, share, known), "lists")
+    lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     rows = save(rows.join(lists, "value").select("value", "id", "n", "hub"), "shared")
+    # from here on only sets that share a listed value
+    reps = save(reps.join(rows.select("id").distinct(), "id", "left_semi"), "members")
     star = rows.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     tested = save(_estimated(star, reps, k, share), "star")
     links = save(_verified(tested, docs, reps, width, percent), "links")
@@ -208,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     rows = rows.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("value")
     rows = save(rows.join(mixed, "value").select("value", "id", "label", "n"), "mixed")
-    more = _across(rows, reps, k, share).join(tested, ["a", "b"], "left_anti")
+    more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
     links = links.unionByName(save(_verified(more, docs, reps, width, percent), "links2"))
     labels = save(components(links), "labels2")
