@@ -84,17 +84,17 @@ def _prefix(sketch: bytes, n: int, k: int, share: float, hot: tuple[np.ndarray,
 
 
 def _listed(reps: DataFrame, k: int, share: float, known) -> DataFrame:
-    """``value, id``: the prefix of each sketch."""
+    """``value, id, m``: the prefix of each sketch, with the size of the set."""
 
     def run(batches):
         hot = known.value
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
             got = [_prefix(s, n, k, share, hot) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             values = np.concatenate(got) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(np.repeat(ids, [len(g) for g in got]), pa.int64())], names=["value", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), *(pa.array(np.repeat(x, [len(g) for g in got]), pa.int64()) for x in (ids, sizes))], names=["value", "id", "m"])
 
-    return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long")
+    return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long, m long")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataFrame:
@@ -115,9 +115,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 
     x = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(x, "a").join(y, "b")
-    # sizes alone rule out many
-    joined = joined.where((F.least("na", "nb") >= F.greatest("na", "nb") * share - 1e-6))
+    joined = pairs.join(x, "a").join(y, "b").where(_sizes_allow(F.col("na"), F.col("nb"), share))
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -150,14 +148,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _sizes_allow(x, y, share: float):
+    return F.least(x, y) >= F.greatest(x, y) * share - 1e-6
+
+
+def _overlap(n: np.ndarray, m: np.ndarray, k: int, share: float) -> np.ndarray:
+    """Retained values that similar sets of these sizes have in common: exact for whole sets, else less 5.5 deviations."""
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    part = np.minimum(share * (1 + low / high) / (1 + share), 1)
+    kept = np.minimum(high, k)
+    least = np.where(high <= k, part * high - 1e-6, kept * part - 5.5 * np.sqrt(kept * part * (1 - part)) - 1)
+    return np.where(low >= share * high - 1e-6, least, np.inf)
+
+
 def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> DataFrame:
-    """Pairs of different components in lists of ``value, id, label, n`` with enough common retained values.
+    """Pairs of different components in lists of ``value, id, label, n, m`` with enough common retained values.
 
     In long lists a pair comes from the first of the lists that both are in.
     """
-    few = lists.where(F.col("n") <= SMALL).groupBy("value").agg(F.collect_list(F.struct("id", "label")).alias("m"))  # at most SMALL
+    few = lists.where(F.col("n") <= SMALL).groupBy("value").agg(F.collect_list(F.struct("id", "label", "m")).alias("l"))  # at most SMALL
     x, y = F.col("x"), F.col("y")
-    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where((x["id"] < y["id"]) & (x["label"] != y["label"])).select(x["id"].alias("a"), y["id"].alias("b"))
+    few = few.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("y")).where((x["id"] < y["id"]) & (x["label"] != y["label"]) & _sizes_allow(x["m"], y["m"], share)).select(x["id"].alias("a"), y["id"].alias("b"))
 
     def common(values: list[np.ndarray], rows: np.ndarray, cols: np.ndarray):
         """Function of a part of ``rows``: how many values each has in common with each of ``cols``."""
@@ -188,7 +199,6 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
         sketches = table["sketch"].to_pylist()
         sk = [np.frombuffer(s, U) for s in sketches]
         before = [(p := _prefix(s, int(m), k, share, known.value))[p < value] for s, m in zip(sketches, n, strict=True)]
-        need = np.array([min(_need(int(m), k, share), len(s)) for m, s in zip(n, sk, strict=True)])
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
         retained, earlier = common(sk, rows, cols), common(before, rows, cols)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -196,7 +206,7 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
             r = rows[at : at + 512]
             ok = (labels[r][:, None] != labels[cols]) & (ids[r][:, None] < ids[cols] if i == j else True)
             if ok.any():
-                ok &= retained(r) >= np.minimum(need[r][:, None], need[cols])
+                ok &= retained(r) >= _overlap(n[r][:, None], n[cols][None, :], k, share)
             if ok.any():
                 ok &= earlier(r) == 0
             p, q = np.nonzero(ok)
@@ -232,17 +242,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     hot = {r["value"]: r["c"] for r in first.collect()}  # at most 2000 * k values
     known = _broadcast(reps, hot)
     rows = save(_listed(reps, k, share, known), "lists")
-    lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    rows = save(rows.join(lists, "value").select("value", "id", "n", "hub"), "shared")
+    lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("hub")).where("n > 1")
+    rows = save(rows.join(lists, "value").select("value", "id", "m", "n", "hub"), "shared")
     # from here on only sets that share a listed value
     reps = save(reps.join(rows.select("id").distinct(), "id", "left_semi"), "members")
-    star = rows.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    star = rows.where((F.col("id") != F.col("hub.id")) & _sizes_allow(F.col("m"), F.col("hub.m"), share)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     tested = save(_estimated(star, reps, k, share), "star")
     links = save(_verified(tested, docs, reps, width, percent), "links")
     labels = save(components(links), "labels")
     rows = rows.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("value")
-    rows = save(rows.join(mixed, "value").select("value", "id", "label", "n"), "mixed")
+    rows = save(rows.join(mixed, "value").select("value", "id", "label", "n", "m"), "mixed")
     more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
     links = links.unionByName(save(_verified(more, docs, reps, width, percent), "links2"))
