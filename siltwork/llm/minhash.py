@@ -42,6 +42,21 @@ def shingle_sets(table, width: int):
                 yield whole[r : r + 1] if w.count[r] else np.zeros(0, U)
 
 
+#: Retained values travel as their upper 40 bits, 5 bytes each; exact verification uses all 64.
+_CUT = U(24)
+
+
+def _sketch(s: np.ndarray, k: int) -> bytes:
+    v = np.unique(s[:k] >> _CUT)
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _values(sketch: bytes) -> np.ndarray:
+    out = np.zeros((len(sketch) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(sketch, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(U)
+
+
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=U)) - 2**63, int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) - 2**63
 
@@ -51,7 +66,7 @@ def _sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
         for b in batches:
             rows = []
             for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width), strict=True):
-                rows.append((d, len(s), *_set_hash(s), s[:k].tobytes()))
+                rows.append((d, len(s), *_set_hash(s), _sketch(s, k)))
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "hi", "lo", "sketch"])
 
@@ -73,7 +88,7 @@ def _broadcast(reps: DataFrame, hot: dict[int, int]):
 
 def _prefix(sketch: bytes, n: int, k: int, share: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The values that a sketch is listed under: very common ones come last."""
-    v, (keys, n_of) = np.frombuffer(sketch, U).view(np.int64), hot
+    v, (keys, n_of) = _values(sketch).view(np.int64), hot
     if not len(v):
         return v
     p = len(v) - min(_need(n, k, share), len(v)) + 1
@@ -105,12 +120,12 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
         for b in batches:
             ok = []
             for n, m, s, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                x, y = np.frombuffer(s, U), np.frombuffer(t, U)
+                x, y = _values(s), _values(t)
                 union = np.union1d(x, y)
                 if n > k or m > k:
                     union = union[:k]
                 both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
-                ok.append(both >= (floor if n > k or m > k else share - 1e-9) * len(union))
+                ok.append(both + 1 >= (floor if n > k or m > k else share) * len(union))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     x = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -157,7 +172,7 @@ def _overlap(n: np.ndarray, m: np.ndarray, k: int, share: float) -> np.ndarray:
     low, high = np.minimum(n, m), np.maximum(n, m)
     part = np.minimum(share * (1 + low / high) / (1 + share), 1)
     kept = np.minimum(high, k)
-    least = np.where(high <= k, part * high - 1e-6, kept * part - 5.5 * np.sqrt(kept * part * (1 - part)) - 1)
+    least = np.where(high <= k, share * (n + m) / (1 + share) - 1, kept * part - 5.5 * np.sqrt(kept * part * (1 - part)) - 1)
     return np.where(low >= share * high - 1e-6, least, np.inf)
 
 
@@ -197,7 +212,7 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
         value, i, j = (x.as_py() for x in key)
         ids, labels, part, n = (table[c].to_numpy() for c in ("id", "label", "block", "n_set"))
         sketches = table["sketch"].to_pylist()
-        sk = [np.frombuffer(s, U) for s in sketches]
+        sk = [_values(s) for s in sketches]
         before = [(p := _prefix(s, int(m), k, share, known.value))[p < value] for s, m in zip(sketches, n, strict=True)]
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
         retained, earlier = common(sk, rows, cols), common(before, rows, cols)
@@ -223,7 +238,7 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
     return few.unionByName(many).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 256) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; a component is
