@@ -28,7 +28,7 @@ FAMILIES = {
     "indic": "hi bn ur pa mr gu ne",
     "baltic": "lt lv",
 }
-DIM = 1 << 13
+DIM = 1 << 12
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -61,8 +61,8 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(n), np.diff(first))
     two = b[:-1] * np.uint32(257) + b[1:]
     three = two[:-1] * np.uint32(263) + b[2:]
-    h2 = (two * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64)
-    h3 = (three * np.uint32(2246822519) >> np.uint32(19)).astype(np.int64)
+    h2 = (two * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64)
+    h3 = (three * np.uint32(2246822519) >> np.uint32(20)).astype(np.int64)
     ok2, ok3 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
     h2, h3 = h2[ok2], h3[ok3]
     at2 = np.r_[0, np.cumsum(ok2)][np.minimum(first, len(ok2))]
@@ -85,9 +85,9 @@ def features(column) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0, seed: int = 1) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss by dual coordinate descent; ``y`` is -1 or 1. The bias is a weight."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     weight = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    norm = np.einsum("ij,ij->i", x, x)
+    norm = np.einsum("ij,ij->i", x, x).astype(np.float64)
     alpha, w, rng = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
@@ -181,6 +181,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got["x"]]) if len(y) else np.zeros((0, 2 * DIM), np.float32)
     order = sorted(range(len(y)), key=lambda i: (y[i], got["x"][i].as_py()))  # not the order of arrival
     x, y = x[order], np.array(y, object)[order]
+    del got
     names = sorted(set(y.tolist()))
     model = Model(names, {})
     for name in names:
@@ -193,7 +194,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     weights, bias = [], []
     for node, a, b, tag in jobs:
         take = (tag == a) | (tag == b)
-        w, c = train_svm(x[take] * scale, np.where(tag[take] == a, 1.0, -1.0))
+        w, c = train_svm(x[take] * np.float32(scale), np.where(tag[take] == a, 1.0, -1.0))
         model.machines.append((node, a, b))
         weights.append(w * scale)
         bias.append(c)
