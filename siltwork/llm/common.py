@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -33,6 +34,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_caches() -> None:
+    """In a Python worker that served the packing before: give back its word cache."""
+    packing = sys.modules.get("siltwork.llm.packing")
+    if packing is not None:
+        packing._CACHES.clear()
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes chunks and buckets."""
     return docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import blocks, column_bytes
+from siltwork.llm.common import release_caches
 
 # Families of languages by code; a language not listed is a family of its own.
 FAMILIES = {
@@ -213,17 +214,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
     schema = docs.select(kept).withColumn(lang_pred, F.lit("").cast("string")).withColumn(score, F.lit(0.0)).schema
 
+    at = kept.index(text)  # a string column
+
     def run(batches):
+        release_caches()
         m = known.value
         for b in batches:
-            column = b.column(b.schema.get_field_index("__text"))
+            column = b.column(at)
             labels, scores = m.predict(column) if m.languages else ([UNDETERMINED] * b.num_rows, np.zeros(b.num_rows))
             letters = b.column(b.schema.get_field_index("__letters")).to_pylist()
             labels = [x if ok else UNDETERMINED for x, ok in zip(labels, letters, strict=True)]
             scores = np.where(np.array(letters, bool), scores, 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang_pred, score])
 
-    d = docs.select(*kept, F.col(text).cast("string").alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    d = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     return d.mapInArrow(run, schema)
 
 

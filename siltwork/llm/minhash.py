@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, components, save
+from siltwork.llm.common import NULL_ID, components, release_caches, save
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -63,6 +63,7 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 def _sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
     def run(batches):
+        release_caches()
         for b in batches:
             rows = []
             for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width), strict=True):
