@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,14 @@ def release_caches() -> None:
         packing._CACHES.clear()
 
 
+def tidy() -> None:
+    """At the end of a task: free memory goes back to the system, since Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes chunks and buckets."""
     return docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0

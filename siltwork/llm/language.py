@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import blocks, column_bytes
-from siltwork.llm.common import release_caches
+from siltwork.llm.common import release_caches, tidy
 
 # Families of languages by code; a language not listed is a family of its own.
 FAMILIES = {
@@ -226,6 +226,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
             labels = [x if ok else UNDETERMINED for x, ok in zip(labels, letters, strict=True)]
             scores = np.where(np.array(letters, bool), scores, 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang_pred, score])
+        tidy()
 
     d = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     return d.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, components, release_caches, save
+from siltwork.llm.common import NULL_ID, components, release_caches, save, tidy
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -70,6 +70,7 @@ def _sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
                 rows.append((d, len(s), *_set_hash(s), _sketch(s, k)))
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "hi", "lo", "sketch"])
+        tidy()
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.col("text").cast("string"))
     return d.mapInArrow(run, "id long, n long, hi long, lo long, sketch binary")
@@ -109,6 +110,7 @@ def _listed(reps: DataFrame, k: int, share: float, known) -> DataFrame:
             got = [_prefix(s, n, k, share, hot) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             values = np.concatenate(got) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), *(pa.array(np.repeat(x, [len(g) for g in got]), pa.int64()) for x in (ids, sizes))], names=["value", "id", "m"])
+        tidy()
 
     return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long, m long")
 
@@ -128,6 +130,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
                 both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
                 ok.append(both + 1 >= (floor if n > k or m > k else share) * len(union))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     x = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -145,6 +148,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
             full = list(shingle_sets(b.column(1), width))
             hashes = [_set_hash(s) for s in full]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in full], pa.binary())], names=["id", "hi", "lo", "s"])
+        tidy()
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     full = save(d.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hi long, lo long, s binary"), "full")
@@ -159,6 +163,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
                 both = len(np.intersect1d(x, y, True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
