@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the smallest doc_id, of each group of near duplicates (0.8, five words)."""
     found = minhash.near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__gone")).distinct()
+    # saved, so that Spark knows its size and broadcasts it while it is small instead of shuffling texts
+    gone = save(found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__gone")).distinct(), "copies")
     return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("__gone"), "left_anti")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, components, release_caches, save, tidy
+from siltwork.llm.common import NULL_ID, components, discard, release_caches, save, tidy
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -139,7 +139,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on full sets."""
+    """The pairs with 100 * intersection >= percent * union on full sets, saved."""
     # ids alone, so that Spark broadcasts them while they are few, and the texts are not shuffled
     ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
@@ -151,9 +151,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
         tidy()
 
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    full = save(d.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hi long, lo long, s binary"), "full")
+    saved = save(d.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hi long, lo long, s binary"), "full")
     # rows with one doc_id and several texts: the one that the sketch is of
-    full = full.join(reps.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi").select("id", "s").dropDuplicates(["id"])
+    full = saved.join(reps.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi").select("id", "s").dropDuplicates(["id"])
 
     def run(batches):
         for b in batches:
@@ -166,7 +166,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
         tidy()
 
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    out = save(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    discard(ids, saved)
+    return out
 
 
 def _sizes_allow(x, y, share: float):
@@ -254,32 +256,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     """
     share = percent / 100
     sketches = save(_sketches(docs, k, width), "sketches")
-    classes = sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch"))
-    classes = save(classes, "classes")
-    reps = classes.select(F.col("rep").alias("id"), "n", "hi", "lo", "sketch").dropDuplicates(["id"])
-    total = reps.count()
-    often = max(64, total // 2000)
-    first = _listed(reps, k, share, _broadcast(reps, {})).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
+    sets = save(sketches.select("id", "hi", "lo", "n"), "sets")
+    classes = save(sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch")), "classes")
+    discard(sketches)
+    names = save(classes.select("hi", "lo", "n", "rep"), "names")
+    every = save(classes.select(F.col("rep").alias("id"), "n", "hi", "lo", "sketch").dropDuplicates(["id"]), "representatives")
+    discard(classes)
+    often = max(64, every.count() // 2000)
+    first = _listed(every, k, share, _broadcast(every, {})).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
     hot = {r["value"]: r["c"] for r in first.collect()}  # at most 2000 * k values
-    known = _broadcast(reps, hot)
-    rows = save(_listed(reps, k, share, known), "lists")
-    lists = rows.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("hub")).where("n > 1")
-    rows = save(rows.join(lists, "value").select("value", "id", "m", "n", "hub"), "shared")
+    known = _broadcast(every, hot)
+    listed = save(_listed(every, k, share, known), "lists")
+    lists = listed.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("hub")).where("n > 1")
+    shared = save(listed.join(lists, "value").select("value", "id", "m", "n", "hub"), "shared")
+    discard(listed)
     # from here on only sets that share a listed value
-    reps = save(reps.join(rows.select("id").distinct(), "id", "left_semi"), "members")
-    star = rows.where((F.col("id") != F.col("hub.id")) & _sizes_allow(F.col("m"), F.col("hub.m"), share)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    reps = save(every.join(shared.select("id").distinct(), "id", "left_semi"), "members")
+    discard(every)
+    star = shared.where((F.col("id") != F.col("hub.id")) & _sizes_allow(F.col("m"), F.col("hub.m"), share)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     tested = save(_estimated(star, reps, k, share), "star")
-    links = save(_verified(tested, docs, reps, width, percent), "links")
+    links = _verified(tested, docs, reps, width, percent)
     labels = save(components(links), "labels")
-    rows = rows.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = shared.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("value")
     rows = save(rows.join(mixed, "value").select("value", "id", "label", "n", "m"), "mixed")
+    discard(shared)
     more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
-    links = links.unionByName(save(_verified(more, docs, reps, width, percent), "links2"))
+    discard(rows, tested)
+    links = links.unionByName(_verified(more, docs, reps, width, percent))
     labels = save(components(links), "labels2")
-    named = classes.select("hi", "lo", "n", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "hi", "lo", "n").join(named, ["hi", "lo", "n"], "left")
+    discard(reps, more)
+    named = names.select("hi", "lo", "n", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
+    out = sets.join(named, ["hi", "lo", "n"], "left")
     component = F.coalesce("component", "id")
     out = out.select("id", "n", component.alias("component"))
     doc = F.when(F.col("id") != NULL_ID, F.col("id"))
