@@ -50,6 +50,13 @@ def discard(*saved: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of texts and sketches are large: fewer travel to Python at once, unless the session sets how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, rows)
+
+
 def release_caches() -> None:
     """In a Python worker that served the packing before: give back its word cache."""
     packing = sys.modules.get("siltwork.llm.packing")

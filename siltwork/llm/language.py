@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import blocks, column_bytes
-from siltwork.llm.common import release_caches, tidy
+from siltwork.llm.common import bound_batches, release_caches, tidy
 
 # Families of languages by code; a language not listed is a family of its own.
 FAMILIES = {
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     Null texts and texts without a letter are ``und`` with score 0; so are all where no language is known.
     Other columns stay as they are; equal texts get equal results.
     """
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
     schema = docs.select(kept).withColumn(lang_pred, F.lit("").cast("string")).withColumn(score, F.lit(0.0)).schema

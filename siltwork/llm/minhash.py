@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, components, discard, release_caches, save, tidy
+from siltwork.llm.common import NULL_ID, bound_batches, components, discard, release_caches, save, tidy
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     empty and blank texts have none and link with nothing. Rows with the same doc_id count as one document, a null doc_id as
     the last one; an empty table returns no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     share = percent / 100
     sketches = save(_sketches(docs, k, width), "sketches")
     sets = save(sketches.select("id", "hi", "lo", "n"), "sets")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import save
+from siltwork.llm.common import bound_batches, save, tidy
 
 _PUNCTUATION = string.punctuation.encode()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -114,8 +114,10 @@ class WordCache:
                     self.put(w, ids[x:y].tolist())
             else:
                 other += part
-        for w, e in zip(other, self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-            self.put(w, e.ids)
+        for i in range(0, len(other), 4000):  # encodings are far larger than their ids
+            part = other[i : i + 4000]
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.put(w, e.ids)
         for w, head, tail in split:
             h, t = self.known[head], self.known[tail]
             self.put(w, self.flat[self.at[h] : self.at[h + 1]] + self.flat[self.at[t] : self.at[t + 1]])
@@ -129,7 +131,8 @@ class WordCache:
             new = set().union(*words)
         if new:
             self.learn(new)
-        flat, at = np.array(self.flat, np.uint32), np.array(self.at, np.int64)
+        # views, gone before the cache grows again
+        flat, at = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.at, np.int64)
         out = []
         for ws in words:
             k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
@@ -182,7 +185,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
                     rows.append((d, p // capacity, p, len(x), zlib.crc32(x.tobytes())))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, PIECES)
 
 
