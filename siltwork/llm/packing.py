@@ -6,10 +6,12 @@ documents there are; pieces meet their places by an equi join.
 
 from __future__ import annotations
 
+import os
 import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,7 @@ class WordCache:
     """
 
     def __init__(self, path: str, most: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -88,10 +91,19 @@ class WordCache:
     def clear(self):
         self.known, self.flat, self.at = {}, array("I"), array("q", [0])
 
-    def put(self, word: bytes, ids) -> None:
-        self.known[word] = len(self.at) - 1
-        self.flat.extend(ids)
-        self.at.append(len(self.flat))
+    def add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """``ids`` of all ``words``, and where those of each end."""
+        self.known.update(zip(words, range(len(self.at) - 1, len(self.at) - 1 + len(words)), strict=True))
+        self.at.frombytes((ends + self.at[-1]).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def gather(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, and where those of each end."""
+        flat, at = np.frombuffer(self.flat or array("I", [0]), np.uint32), np.frombuffer(self.at, np.int64)
+        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = at[k + 1] - at[k]
+        end = np.cumsum(n)
+        return flat[np.repeat(at[k] - end + n, n) + np.arange(end[-1] if len(end) else 0)], end
 
     def learn(self, words: set[bytes]) -> None:
         split, alone = [], []
@@ -110,17 +122,15 @@ class WordCache:
             ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) == len(part) and end[-1] == len(ids):
-                for w, x, y in zip(part, np.r_[0, end[:-1]].tolist(), end.tolist(), strict=True):
-                    self.put(w, ids[x:y].tolist())
+                self.add(part, ids, end)
             else:
                 other += part
         for i in range(0, len(other), 4000):  # encodings are far larger than their ids
             part = other[i : i + 4000]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.put(w, e.ids)
-        for w, head, tail in split:
-            h, t = self.known[head], self.known[tail]
-            self.put(w, self.flat[self.at[h] : self.at[h + 1]] + self.flat[self.at[t] : self.at[t + 1]])
+            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            self.add(part, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
+        ids, ends = self.gather([x for _, h, t in split for x in (h, t)])
+        self.add([w for w, _, _ in split], ids, ends[1::2])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         # ASCII is lowered here already, unless a combining mark could compose differently then
@@ -131,15 +141,7 @@ class WordCache:
             new = set().union(*words)
         if new:
             self.learn(new)
-        # views, gone before the cache grows again
-        flat, at = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.at, np.int64)
-        out = []
-        for ws in words:
-            k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            n = at[k + 1] - at[k]
-            end = np.cumsum(n)
-            out.append(flat[np.repeat(at[k] - end + n, n) + np.arange(end[-1] if len(end) else 0)])
-        return out
+        return [self.gather(ws)[0] for ws in words]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -158,17 +160,17 @@ def _cache(path: str | None) -> WordCache:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Texts by a few MB, a long one alone."""
+    size, part = 0, ([], [])
     for b in batches:
-        ids, size, part = b.column(0).to_pylist(), 0, ([], [])
-        for i, t in zip(ids, b.column(1), strict=True):
+        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             part[0].append(i)
             part[1].append(t.as_py() or b"")
             size += len(part[1][-1])
             if size > 2_000_000:
                 yield part
                 size, part = 0, ([], [])
-        if part[0]:
-            yield part
+    if part[0]:
+        yield part
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
