@@ -11,7 +11,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +97,9 @@ class WordCache:
         self.at.frombytes((ends + self.at[-1]).astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
 
-    def gather(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, and where those of each end."""
+    def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by their numbers, and where those of each end."""
         flat, at = np.frombuffer(self.flat or array("I", [0]), np.uint32), np.frombuffer(self.at, np.int64)
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         n = at[k + 1] - at[k]
         end = np.cumsum(n)
         return flat[np.repeat(at[k] - end + n, n) + np.arange(end[-1] if len(end) else 0)], end
@@ -129,19 +128,24 @@ class WordCache:
             part = other[i : i + 4000]
             ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
             self.add(part, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
-        ids, ends = self.gather([x for _, h, t in split for x in (h, t)])
+        ids, ends = self.gather(np.array([self.known[x] for _, h, t in split for x in (h, t)], np.int64))
         self.add([w for w, _, _ in split], ids, ends[1::2])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         # ASCII is lowered here already, unless a combining mark could compose differently then
         words = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.clear()
-            new = set().union(*words)
-        if new:
+        flat = list(chain.from_iterable(words))
+        k = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(k < 0).tolist()
+        if missing:
+            new = {flat[i] for i in missing}
+            if len(self.known) + len(new) > self.most:
+                self.clear()
+                new, missing = set(flat), range(len(flat))
             self.learn(new)
-        return [self.gather(ws)[0] for ws in words]
+            k[missing] = [self.known[flat[i]] for i in missing]
+        ids, end = self.gather(k)
+        return np.split(ids, np.r_[0, end][np.cumsum([len(w) for w in words])[:-1]])
 
 
 _CACHES: dict[str, WordCache] = {}
