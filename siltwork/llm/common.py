@@ -64,9 +64,13 @@ def release_caches() -> None:
         packing._CACHES.clear()
 
 
-def tidy() -> None:
-    """At the end of a task: free memory goes back to the system, since Python workers outlive their tasks."""
-    gc.collect()
+def tidy(cycles: bool = True) -> None:
+    """At the end of a task: free memory goes back to the system, since Python workers outlive their tasks.
+
+    Without ``cycles`` the garbage collector does not walk the heap, for tasks that make no cyclic garbage.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
                     rows.append((d, p // capacity, p, len(x), zlib.crc32(x.tobytes())))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        tidy()
+        tidy(cycles=False)
 
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, PIECES)
