@@ -25,7 +25,24 @@ class ReduceConfig:
     tokens: Callable[[Column], Column] = chars4
 
     def __post_init__(self):
-        if self.budget < 1 or self.context < 0 or self.context > 255 or len(self.weights) != 3 or min(self.weights) < 0:
-            raise ValueError("budget >= 1, context 0 to 255 and three weights >= 0 are needed")
+        if self.budget < 1 or self.context < 0 or self.context > 255 or len(self.weights) != 3 or not all(0 <= w < float("inf") for w in self.weights):
+            raise ValueError("budget >= 1, context 0 to 255 and three finite weights >= 0 are needed")
         if self.format not in ("auto", "json", "logfmt", "syslog", "klog", "plain"):
             raise ValueError(f"unknown format {self.format}")
+
+
+FORMATS = {"json": "json", "logfmt": "logfmt", "syslog": "syslog", "klog": "klog", "glog": "klog", "plain": "plain"}
+
+
+def format_of(name: str) -> str:
+    """A format by its name in any case; unknown names are detected per log."""
+    return FORMATS.get(name.lower(), "auto")
+
+
+def weights_of(text: str) -> tuple[float, float, float]:
+    """Three numbers, by commas: rarity, severity, burst."""
+    parts = text.split(",")
+    if len(parts) != 3:
+        raise ValueError("weights are three numbers: rarity,severity,burst")
+    r, s, b = (float(x.strip()) for x in parts)
+    return r, s, b

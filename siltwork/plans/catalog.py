@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork.config import ReduceConfig
 from siltwork.functions import text as T
+from siltwork.operators import evaluate as E
 from siltwork.operators import reduce as R
-from siltwork.sources import logs
+from siltwork.sources import logs, prompts, sinks
+from siltwork.sources.store import folder, stored
+from siltwork.streaming import templates as streams
 
 RAW = ReduceConfig(redact=False, budget=2000)
 
@@ -77,7 +80,109 @@ def reduce_output(spark, sf_dir):
     return R.reduce_logs(_lines(spark, sf_dir), ReduceConfig(budget=2000)).output()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (doc_lines, format_scores, format_detect, record_assembly, level_infer, mask_templates, template_stats, severity_counts, redact_patterns, selected, render_rows, reduce_output)}
+def _fields_of(kind):
+    def query(spark, sf_dir):
+        d = R.fields(R.records(logs.events_as(spark, sf_dir, kind)))
+        return d.groupBy("log_id", "format", F.col("sev").cast("int").alias("sev")).agg(F.count("*").alias("n"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"))
+
+    query.__name__ = f"{kind}_fields"
+    return query
+
+
+def template_topk(spark, sf_dir):
+    t = R.templates(_records(spark, sf_dir))
+    w = Window.partitionBy("log_id").orderBy(F.desc("cnt"), F.desc("rarity"), "template")
+    return t.withColumn("r", F.row_number().over(w)).where("r <= 5").select("log_id", F.col("r").cast("long").alias("r"), "template", "cnt")
+
+
+def document_frequency(spark, sf_dir):
+    t = _records(spark, sf_dir).select("log_id", "template").distinct()
+    return t.select("log_id", "template", F.explode(F.array_distinct(F.split("template", " "))).alias("term")).where("term <> ''").groupBy("log_id", "term").agg(F.count("*").alias("df"))
+
+
+def blended_scores(spark, sf_dir):
+    recs = _records(spark, sf_dir)
+    return R.scored(recs, R.templates(recs), RAW).select("log_id", "idx", F.round("score", 6).alias("score"))
+
+
+def entropy_tokens(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", r"(?U)\s+")).alias("token")).where("octet_length(token) >= 10").distinct()
+    return d.select("doc_id", "token", F.round(T.entropy(F.col("token")), 6).alias("bits"))
+
+
+def synth_log(spark, sf_dir):
+    return R.templates(R.templated(R.fields(R.records(logs.synthetic(spark, 20_000))), RAW)).select("template", "cnt", "first_idx")
+
+
+def _outputs(spark, sf_dir):
+    """Lines of the events' logs, their outputs, and errors of each log as signals."""
+    lines = stored(_lines(spark, sf_dir).select("log_id", (F.row_number().over(Window.partitionBy("log_id").orderBy("pos")) - 1).cast("long").alias("pos"), "line"), "lines")
+    out = stored(sinks.texts(R.reduce_logs(lines, RAW).output()), "texts")
+    at = (F.col("pos") + 1).cast("int")
+    span = F.array(F.array(at, at + 2))
+    kind = F.when(F.col("pos") % 3 == 0, "critical").otherwise("important")
+    signals = lines.where(F.col("line").contains(" ERROR ") & (F.col("pos") % 11 == 0)).select("log_id", F.col("pos").alias("signal"), kind.alias("importance"), span.alias("evidence_lines"))
+    return lines, out, signals
+
+
+def fingerprints(spark, sf_dir):
+    return _docs(spark, sf_dir).select("log_id", "pos", E.fingerprint(F.col("line")).alias("fingerprint"))
+
+
+def evidence_keys(spark, sf_dir):
+    lines, _, signals = _outputs(spark, sf_dir)
+    return E.evidence(lines, signals)
+
+
+def signal_recall(spark, sf_dir):
+    lines, out, signals = _outputs(spark, sf_dir)
+    return E.case_report(lines, out, signals)
+
+
+def recall_overall(spark, sf_dir):
+    return E.overall(signal_recall(spark, sf_dir))
+
+
+def reduction_manifest(spark, sf_dir):
+    lines, out, _ = _outputs(spark, sf_dir)
+    path = lambda ext: F.concat("log_id", F.lit(ext))
+    m = E.manifest(lines, out, "siltwork-2k", 2000, path("/raw.log"), path(".txt"))
+    return m.select("case_id", "method", "input_line_count", "input_byte_size", F.col("metadata.budget_tokens").alias("budget_tokens"))
+
+
+def tail_truncate(spark, sf_dir):
+    """Documents cut to 600 bytes by lines; every fifth line is a header."""
+    rows = _docs(spark, sf_dir).select("log_id", F.col("pos").alias("ord"), F.when(F.col("pos") % 5 == 0, F.concat(F.lit("# "), "line")).otherwise(F.col("line")).alias("text"))
+    return E.tail_truncate(rows, 600)
+
+
+def prompt_paths(spark, sf_dir):
+    """Prompts that name documents as files; those of at least 5 lines count as logs."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = d.select(F.concat(F.lit("/logs/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    ask = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), F.to_json(F.struct(F.concat("text", F.lit(" see ./none.txt and /logs/"), "conv_id", F.lit(".txt or /logs/"), F.col("conv_id") + F.col("turn"), F.lit(".txt")).alias("prompt"))).alias("value"))
+    return prompts.detect(prompts.from_json(ask), files, least_lines=5)
+
+
+def stream_templates(spark, sf_dir):
+    """Windowed template counts of ``events`` read as a stream; windows that the watermark has closed."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    line = F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "), F.upper("event_type"))
+    counts = streams.template_counts(e.select(F.col("ts").cast("timestamp").alias("ts"), line.alias("line")))
+    base = folder(spark)
+    counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/counts").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{base}/counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        doc_lines, format_scores, format_detect, record_assembly, level_infer, mask_templates, template_stats, severity_counts, redact_patterns, selected, render_rows, reduce_output,
+        *map(_fields_of, ("json", "logfmt", "klog", "syslog")), template_topk, document_frequency, blended_scores, entropy_tokens, synth_log,
+        fingerprints, evidence_keys, signal_recall, recall_overall, reduction_manifest, tail_truncate, prompt_paths, stream_templates,
+    )
+}
 
 _DOC = "l AS (SELECT doc_id::VARCHAR AS log_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 _SCORES = r"""head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY pos) AS r FROM {lines} WHERE regexp_matches(line, '\S')) WHERE r <= 200),
@@ -121,3 +226,93 @@ ORACLE_SQL: dict[str, str] = {
     "severity_counts": f"{_RECORDS}, s AS (SELECT log_id, {_SEV.format(x='raw')} AS sev FROM recs) SELECT log_id, count(*) FILTER (sev = 0) AS other, count(*) FILTER (sev = 1) AS info, count(*) FILTER (sev = 2) AS warn, count(*) FILTER (sev = 3) AS error, count(*) FILTER (sev = 4) AS fatal FROM s GROUP BY log_id",
     "redact_patterns": f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted_md5 FROM documents",
 }
+
+_RANK = "CASE WHEN upper({x}) IN ('FATAL','CRITICAL','PANIC','EMERG','ALERT') THEN 4 WHEN upper({x}) IN ('ERROR','ERR','E') THEN 3 WHEN upper({x}) IN ('WARN','WARNING','W') THEN 2 WHEN upper({x}) IN ('INFO','INFORMATION','I','NOTICE') THEN 1 ELSE 0 END"
+_LEVEL_KEY = "CASE WHEN json_type(line, '$.level') IS NOT NULL THEN '$.level' WHEN json_type(line, '$.severity') IS NOT NULL THEN '$.severity' ELSE '$.lvl' END"
+_FIELDS = {
+    "json": (_RANK.format(x=f"CASE WHEN json_type(line, {_LEVEL_KEY}) = 'VARCHAR' THEN json_extract_string(line, {_LEVEL_KEY}) END"), "CASE WHEN json_type(line, '$.ts') = 'UBIGINT' THEN json_extract_string(line, '$.ts')::BIGINT END"),
+    "logfmt": (f"CASE WHEN regexp_matches(line, '(?:^|\\s)level=') THEN {_RANK.format(x="trim(regexp_extract(line, '(?:^|\\s)level=(\\S*)', 1), '\"')")} ELSE {_SEV.format(x='line')} END", "NULL::BIGINT"),
+    "klog": ("CASE line[1] WHEN 'I' THEN 1 WHEN 'W' THEN 2 WHEN 'E' THEN 3 WHEN 'F' THEN 4 ELSE 0 END", "NULL::BIGINT"),
+    "syslog": (_SEV.format(x="line"), "NULL::BIGINT"),
+}
+for _kind, (_level, _ts) in _FIELDS.items():
+    ORACLE_SQL[f"{_kind}_fields"] = f"WITH {logs.events_as_sql(_kind)}, f AS (SELECT log_id, {_level} AS sev, {_ts} AS ts FROM lines) SELECT log_id, '{_kind}' AS format, sev, count(*) AS n, min(ts) AS ts_min, max(ts) AS ts_max FROM f GROUP BY log_id, sev"
+
+
+def _scores_sql(redacted: str = "raw") -> str:
+    """Records with templates and scores, each template's best record marked (``best``), up to what was redacted."""
+    return f"""{_TEMPLATES.replace("WITH", "WITH RECURSIVE", 1).replace("SELECT log_id, idx, raw, " + _mask_sql("raw"), f"SELECT log_id, idx, raw, {redacted} AS redacted, {_mask_sql(redacted)}")},
+tm AS (SELECT log_id, template, cnt, round(cnt * one, 6) AS rarity, max(round(cnt * one, 6)) OVER (PARTITION BY log_id) AS most FROM t JOIN one USING (log_id, template)),
+sc AS (SELECT *, round(0.4::DOUBLE * coalesce(rarity / nullif(most, 0), 0) + 0.5::DOUBLE * CASE sev WHEN 4 THEN 1.0 WHEN 3 THEN 0.9 WHEN 2 THEN 0.6 WHEN 1 THEN 0.2 ELSE 0.1 END::DOUBLE + 0.1::DOUBLE * (cnt = 1)::INT, 9) AS score
+  FROM (SELECT *, {_SEV.format(x="raw")} AS sev, ceil(length(raw) / 4)::BIGINT AS tokens FROM m) JOIN tm USING (log_id, template)),
+best AS (SELECT *, row_number() OVER (PARTITION BY log_id, template ORDER BY score DESC, idx) = 1 AS one FROM sc)"""
+
+
+def _selected_sql(redacted: str = "raw", budget: int = 2000, context: int = 2) -> str:
+    """Selection as the plain loops over ranked extras, then over context."""
+    return f"""{_scores_sql(redacted)},
+cand AS (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, idx) AS k FROM best WHERE NOT one AND sev >= 3),
+fill(log_id, k, idx, used, take) AS (SELECT log_id, 0::BIGINT, -1::BIGINT, sum(tokens)::BIGINT, false FROM best WHERE one GROUP BY log_id
+  UNION ALL SELECT f.log_id, c.k, c.idx, f.used + CASE WHEN f.used + c.tokens <= {budget} THEN c.tokens ELSE 0 END, f.used + c.tokens <= {budget}
+  FROM fill f JOIN cand c ON c.log_id = f.log_id AND c.k = f.k + 1 WHERE f.used < {budget} AND 2 * f.used <= {budget}),
+two AS (SELECT b.*, b.one OR coalesce(f.take, false) AS main FROM best b LEFT JOIN fill f USING (log_id, idx)),
+near AS (SELECT *, max(main::INT) OVER (PARTITION BY log_id ORDER BY idx ROWS BETWEEN {context} PRECEDING AND {context} FOLLOWING) AS near FROM two),
+ctx AS (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY idx) AS k FROM near WHERE near = 1 AND NOT main),
+fold(log_id, k, idx, room, take) AS (SELECT log_id, 0::BIGINT, -1::BIGINT, ({budget} - sum(tokens) FILTER (main))::BIGINT, false FROM two GROUP BY log_id
+  UNION ALL SELECT f.log_id, c.k, c.idx, f.room - CASE WHEN c.tokens <= f.room THEN c.tokens ELSE 0 END, c.tokens <= f.room FROM fold f JOIN ctx c ON c.log_id = f.log_id AND c.k = f.k + 1 WHERE f.room > 0),
+sel AS (SELECT t.*, coalesce(f.take, false) AS as_context, t.main OR coalesce(f.take, false) AS kept FROM two t LEFT JOIN fold f USING (log_id, idx))"""
+
+
+_RENDER = """,
+k AS (SELECT *, lag(idx, 1, -1) OVER (PARTITION BY log_id ORDER BY idx) AS prev, row_number() OVER (PARTITION BY log_id, template ORDER BY idx) = 1 AS first, string_split(CASE WHEN redacted = '' THEN raw ELSE redacted END, chr(10)) AS l FROM sel WHERE kept),
+rows AS (SELECT log_id, idx * 2 + 1 AS ord, CASE WHEN as_context THEN 'context' ELSE 'line' END AS kind,
+    array_to_string(list_concat([l[1] || CASE WHEN first AND cnt > 1 THEN '   (×' || cnt || ')' ELSE '' END || CASE WHEN as_context THEN '  ·' ELSE '' END], l[2:]), chr(10)) AS text FROM k
+  UNION ALL SELECT log_id, idx * 2, 'gap', '… ' || (idx - prev - 1) || ' lines omitted' || CASE WHEN prev >= 0 THEN ' (from line ' || (prev + 1) || ')' ELSE '' END || ' …' FROM k WHERE idx - prev > 1
+  UNION ALL SELECT log_id, n * 2, 'gap', '… ' || (n - 1 - m) || ' lines omitted (from line ' || (m + 1) || ') …' FROM (SELECT log_id, count(*) AS n, max(idx) FILTER (kept) AS m FROM sel GROUP BY log_id) WHERE n - 1 > m)"""
+_OUTPUT = f""",
+top AS (SELECT log_id, string_agg('"' || template || '" ×' || cnt, ' ; ' ORDER BY cnt DESC, rarity DESC, template) AS top FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY cnt DESC, rarity DESC, template) AS r FROM tm) WHERE r <= 5 GROUP BY log_id),
+heads AS (SELECT log_id, count(*) AS n, count(*) FILTER (kept) AS kept, ceil(sum(strlen(raw)) / 4)::BIGINT AS it, count(*) FILTER (sev = 4) AS s4, count(*) FILTER (sev = 3) AS s3, count(*) FILTER (sev = 2) AS s2, count(*) FILTER (sev = 1) AS s1, count(*) FILTER (sev = 0) AS s0 FROM sel GROUP BY log_id),
+texts AS (SELECT log_id, '# LOG SUMMARY  |  ' || n || ' lines → ' || kept || ' kept (' || (kept * 100 // n) || '%)' || chr(10) || '# levels: FATAL ' || s4 || '  ERROR ' || s3 || '  WARN ' || s2 || '  INFO ' || s1 || '  OTHER ' || s0 || chr(10)
+    || '# top templates: ' || top || chr(10) || '{R.NOTE}' || chr(10) AS header, body, n, kept, it
+  FROM heads JOIN top USING (log_id) JOIN (SELECT log_id, string_agg(text, chr(10) ORDER BY ord) || chr(10) AS body FROM rows GROUP BY log_id) USING (log_id))"""
+_SQUEEZED = f"trim(regexp_replace({_redact_sql('raw')}, '\\s+', ' ', 'g'))"
+_FINGERPRINT = r"trim(regexp_replace(trim(regexp_replace(regexp_replace({x}, '\x1b\[[0-9;]*m|\x1b\[K', '', 'g'), '^\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\.\d+Z\s*', '')), '\s+', ' ', 'g'))"
+_KEY = _FINGERPRINT.format(x="line")
+_SIGNALS = f"""numbered AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY pos) - 1 AS pos, line FROM lines),
+signals AS (SELECT log_id, pos AS signal, CASE WHEN pos % 3 = 0 THEN 'critical' ELSE 'important' END AS importance FROM numbered WHERE contains(line, ' ERROR ') AND pos % 11 = 0),
+keys AS (SELECT DISTINCT s.log_id, s.signal, {_KEY}[1:60] AS key FROM signals s JOIN numbered n ON n.log_id = s.log_id AND n.pos BETWEEN s.signal AND s.signal + 2 WHERE length({_KEY}) >= 12)"""
+_RECALL = f"""{_selected_sql()}{_RENDER}{_OUTPUT}, {_SIGNALS},
+plain AS (SELECT log_id, header || chr(10) || body AS text FROM texts), hits AS (SELECT s.log_id, s.signal, s.importance, coalesce(bool_or(contains(p.text, k.key)), false) AS hit FROM signals s JOIN plain p USING (log_id) LEFT JOIN keys k USING (log_id, signal) GROUP BY ALL),
+shares AS (SELECT log_id, count(*) AS raw_lines FROM lines GROUP BY log_id),
+keeps AS (SELECT log_id, count(*) FILTER (NOT x LIKE '#%' AND NOT x LIKE '…%') AS kept_lines FROM (SELECT log_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS x FROM plain) GROUP BY log_id),
+sums AS (SELECT log_id, count(*) FILTER (importance = 'critical' AND hit) AS ch, count(*) FILTER (importance = 'critical') AS ct, count(*) FILTER (importance = 'important' AND hit) AS ih, count(*) FILTER (importance = 'important') AS n FROM hits GROUP BY log_id),
+report AS (SELECT log_id, raw_lines, kept_lines, CASE WHEN coalesce(ct, 0) = 0 THEN 1.0 ELSE round(ch / ct, 3) END::DOUBLE AS critical_recall, coalesce(ch, 0) AS critical_hits, coalesce(ct, 0) AS critical_total,
+  CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE round(ih / n, 3) END::DOUBLE AS important_recall, coalesce(ih, 0) AS important_hits, coalesce(n, 0) AS important_total, round(kept_lines / raw_lines * 100, 1) AS keep_pct, '?' AS failure_category
+  FROM shares JOIN keeps USING (log_id) LEFT JOIN sums USING (log_id))"""
+
+ORACLE_SQL |= {
+    "template_topk": f"{_TEMPLATES}, r AS (SELECT log_id, template, cnt, row_number() OVER (PARTITION BY log_id ORDER BY cnt DESC, round(cnt * one, 6) DESC, template) AS r FROM t JOIN one USING (log_id, template)) SELECT log_id, r, template, cnt FROM r WHERE r <= 5",
+    "document_frequency": f"{_TEMPLATES} SELECT * FROM df",
+    "blended_scores": f"{_scores_sql()} SELECT log_id, idx, round(score, 6) AS score FROM sc",
+    "selected": f"{_selected_sql()} SELECT log_id, idx, template, as_context FROM sel WHERE kept",
+    "render_rows": f"{_selected_sql()}{_RENDER} SELECT log_id, ord, kind, text FROM rows",
+    "reduce_output": f"{_selected_sql(_SQUEEZED)}{_RENDER}{_OUTPUT} SELECT log_id, header, body, n AS input_records, kept AS kept_records, it AS input_tokens, ceil((strlen(header) + strlen(body)) / 4)::BIGINT AS output_tokens FROM texts",
+    "entropy_tokens": r"WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM t WHERE strlen(token) >= 10), n AS (SELECT doc_id, token, c, count(*) / any_value(strlen(token)) AS p FROM c GROUP BY doc_id, token, c) SELECT doc_id, token, coalesce(round(sum(-p * log2(p)) FILTER (ascii(c) < 128), 6), 0) AS bits FROM n GROUP BY ALL",
+    "synth_log": f"WITH lines AS (SELECT i AS idx, '2024-01-01T00:00:' || lpad((i % 60)::VARCHAR, 2, '0') || CASE WHEN i % 200 = 0 THEN ' ERROR failed to acquire connection id=' || i WHEN i % 100 = 0 THEN ' WARN pool at capacity ' || i WHEN i % 20 = 0 THEN ' INFO request ' || i || ' done in ' || (i % 500) || 'ms' ELSE ' INFO health check ok' END AS line FROM range(20000) r(i)) SELECT {_mask_sql('line')} AS template, count(*) AS cnt, min(idx) AS first_idx FROM lines GROUP BY 1",
+    "fingerprints": f"WITH {_DOC} SELECT log_id, pos, CASE WHEN length({_KEY}) >= 12 THEN {_KEY} END AS fingerprint FROM l",
+    "evidence_keys": f"WITH {logs.EVENTS_PLAIN_SQL}, {_SIGNALS} SELECT * FROM keys",
+    "signal_recall": f"{_RECALL} SELECT * FROM report",
+    "recall_overall": f"{_RECALL} SELECT count(*) AS cases, round(avg(critical_recall), 6) AS avg_critical_recall, sum(critical_hits)::BIGINT AS critical_hits, sum(critical_total)::BIGINT AS critical_total, round(avg(keep_pct), 6) AS avg_keep_pct FROM report",
+    "reduction_manifest": f"WITH {logs.EVENTS_PLAIN_SQL} SELECT log_id AS case_id, 'siltwork-2k' AS method, count(*) AS input_line_count, sum(strlen(line) + 1)::BIGINT AS input_byte_size, 2000 AS budget_tokens FROM lines GROUP BY log_id",
+    "tail_truncate": f"""WITH {_DOC}, h AS (SELECT log_id, pos, CASE WHEN pos % 5 = 0 THEN '# ' || line ELSE line END AS x FROM l),
+b AS (SELECT *, x LIKE '#%' AS head, strlen(x) + 1 AS n FROM h), s AS (SELECT log_id, sum(n) AS total, coalesce(sum(n) FILTER (head), 0) AS heads FROM b GROUP BY log_id),
+e AS (SELECT b.*, total > 600 AS long, heads, sum(n) OVER (PARTITION BY log_id, head ORDER BY pos DESC) AS tail FROM b JOIN s USING (log_id)),
+o AS (SELECT log_id, CASE WHEN long AND NOT head THEN 2 ELSE 0 END AS part, pos, x FROM e WHERE NOT long OR head OR tail <= 600 - heads
+  UNION ALL SELECT log_id, 1, 0, '… ' || count(*) FILTER (NOT head AND tail > 600 - heads) || ' lines truncated (context too large for LLM) …' FROM e WHERE long GROUP BY log_id)
+SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY part, pos) - 1 AS ord, x AS text FROM o""",
+    "prompt_paths": r"""WITH f AS (SELECT '/logs/' || doc_id || '.txt' AS path, len(string_split(text, chr(10))) AS pieces, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS n_lines FROM documents),
+p AS (SELECT conv_id || '-' || turn AS prompt_id, regexp_extract_all(text || ' see ./none.txt and /logs/' || conv_id || '.txt or /logs/' || (conv_id + turn) || '.txt', '(?m)(?:^|\s)((?:/|\.\.?/|~/|[A-Z]:\\)[\w./\\-]+)', 1) AS ps FROM conversations),
+u AS (SELECT prompt_id, unnest(ps) AS path, unnest(range(len(ps))) AS nth FROM p) SELECT prompt_id, arg_min(path, nth) AS path, arg_min(n_lines, nth) AS n_lines FROM u JOIN f USING (path) WHERE pieces >= 5 GROUP BY prompt_id""",
+    "stream_templates": f"""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, 'event ' || event_id || ' ' || upper(event_type) AS line FROM events)
+SELECT start, {_mask_sql('line')} AS template, {_SEV.format(x='line')} AS sev, count(*) AS n FROM e WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+}

@@ -55,3 +55,40 @@ def synthetic(spark: SparkSession, n: int, log_id: str = "bench") -> DataFrame:
         .otherwise(F.format_string("2024-01-01T00:00:%02d INFO health check ok", i % 60))
     )
     return spark.range(n).select(F.lit(log_id).alias("log_id"), i.alias("pos"), line.alias("line"))
+
+
+def events_as(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A log a day from ``events`` as ``json``, ``logfmt``, ``klog`` or ``syslog``, with levels absent, null or of other types."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, of = F.col("event_id"), F.col("event_type")
+    n = i.cast("string")
+    word = F.when(of == "error", "error").when(of == "purchase", "warn").when(of == "view", "debug").otherwise("info")
+    did = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), of)
+    clock = F.date_format("ts", "HH:mm:ss")
+    if kind == "json":
+        level = F.when(i % 7 == 0, '"level":null').when(i % 7 == 1, '"level":50').otherwise(F.concat(F.when(i % 7 == 2, '"severity"').otherwise('"level"'), F.lit(':"'), word, F.lit('"')))
+        line = F.concat(F.lit("{"), level, F.lit(',"ts":'), F.when(i % 5 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n), F.lit(',"msg":"'), did, F.lit('"}'))
+    elif kind == "logfmt":
+        line = F.concat(F.lit("at="), n, F.when(i % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(' level="'), word, F.lit('"'))), F.lit(" msg="), F.replace(did, F.lit(" "), F.lit("_")))
+    elif kind == "klog":
+        letter = F.when(of == "error", "E").when(of == "purchase", "W").when(of == "signup", "F").otherwise("I")
+        line = F.concat(letter, F.date_format("ts", "MMdd "), clock, F.lit(" 7 app.go:"), n, F.lit("] "), did)
+    else:
+        line = F.concat(F.date_format("ts", "MMM dd "), clock, F.lit(" host app["), n, F.lit("]: ["), F.upper(word), F.lit("] "), did)
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("log_id"), i.alias("pos"), line.alias("line"))
+
+
+_WORD = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END"
+_DID = "'user ' || user_id || ' did ' || event_type"
+#: The same in DuckDB: a line by kind.
+EVENTS_AS_SQL = {
+    "json": f"""'{{' || CASE event_id % 7 WHEN 0 THEN '"level":null' WHEN 1 THEN '"level":50' WHEN 2 THEN '"severity":"' || {_WORD} || '"' ELSE '"level":"' || {_WORD} || '"' END
+  || ',"ts":' || CASE WHEN event_id % 5 = 0 THEN '"' || event_id || '"' ELSE event_id::VARCHAR END || ',"msg":"' || {_DID} || '"}}'""",
+    "logfmt": f"""'at=' || event_id || CASE WHEN event_id % 5 = 0 THEN '' ELSE ' level="' || {_WORD} || '"' END || ' msg=' || replace({_DID}, ' ', '_')""",
+    "klog": f"CASE event_type WHEN 'error' THEN 'E' WHEN 'purchase' THEN 'W' WHEN 'signup' THEN 'F' ELSE 'I' END || strftime(ts, '%m%d %H:%M:%S') || ' 7 app.go:' || event_id || '] ' || {_DID}",
+    "syslog": f"strftime(ts, '%b %d %H:%M:%S') || ' host app[' || event_id || ']: [' || upper({_WORD}) || '] ' || {_DID}",
+}
+
+
+def events_as_sql(kind: str) -> str:
+    return f"lines AS (SELECT strftime(ts, '%Y-%m-%d') AS log_id, event_id AS pos, {EVENTS_AS_SQL[kind]} AS line FROM events)"

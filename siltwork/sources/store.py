@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` by way of a table under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="siltwork-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/siltwork/{uuid.uuid4().hex}/{name}"
+    return f"{root.rstrip('/')}/siltwork/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` by way of a table in a new folder."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
