@@ -1,18 +1,21 @@
 """Near-duplicate vectors by sorted projection passes.
 
 A pass orders vectors by the bits of 63 random projections. Each vector is compared with its neighbours
-in that order: with the next ``window``, and on as long as links are found within the last ``window`` of them, up to the
-``reach`` of a block. Equal vectors are one class first. Pairs verified in any pass are links; components unite them.
+in that order: with the next ``window``, and on as long as links are found within the last ``window`` of them. A task holds a
+block of ``reach`` vectors and the next; a vector that still links at the end of these goes on, tile by tile of two blocks, so
+no cluster is too large. Equal vectors are one class first. Pairs verified in any pass are links; components unite them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import components, save
+from siltwork.llm.common import components, discard, save
 
 BITS = 63
 
@@ -40,17 +43,35 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("id", "dim", "vector").mapInArrow(run, "id long, dim int, keys array<long>")
 
 
-def _links(table: pa.Table, least: float, window: int) -> pa.Table:
+#: A link has ``pass`` -1; else ``a`` of block ``source`` has still to be compared with block ``next`` and on.
+FOUND = "a long, b long, pass int, dim int, source long, next long"
+
+
+def _found(a: np.ndarray, b: np.ndarray, still: np.ndarray, at: tuple[int, int, int, int]) -> pa.Table:
+    n, m = len(a), len(still)
+    cols = {"a": np.concatenate([np.minimum(a, b), still]), "b": np.concatenate([np.maximum(a, b), still])}
+    cols |= {k: np.concatenate([np.full(n, -1), np.full(m, v)]) for k, v in zip(("pass", "dim", "source", "next"), at, strict=True)}
+    return pa.table({k: pa.array(v.astype(np.int64)).cast(pa.int32() if k in ("pass", "dim") else pa.int64()) for k, v in cols.items()})
+
+
+def _unit(column) -> np.ndarray:
+    v = _matrix(column)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _links(table: pa.Table, least: float, window: int, reach: int) -> pa.Table:
     """Pairs of one block; rows of the next block (``own`` false) only as later neighbours."""
     order = np.argsort(table["rank"].to_numpy())
     ids, own = table["id"].to_numpy()[order], table["own"].to_numpy()[order]
-    v = _matrix(table["vector"])[order]
-    v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-    active, since = np.flatnonzero(own), None
+    v = _unit(table["vector"])[order]
+    more = np.count_nonzero(~own) == reach  # else no block follows
+    active, still = np.flatnonzero(own), [np.zeros(0, np.int64)]
     since = np.zeros(len(active), np.int64)
     a, b, o = [], [], 1
     while len(active):
         ok = active + o < len(ids)
+        if more:
+            still.append(ids[active[~ok]])
         active, since = active[ok], since[ok]
         hit = np.einsum("ij,ij->i", v[active], v[active + o]) >= least
         a.append(ids[active[hit]])
@@ -59,7 +80,44 @@ def _links(table: pa.Table, least: float, window: int) -> pa.Table:
         go = o - since < window
         active, since, o = active[go], since[go], o + 1
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    block = table["block"][0].as_py()
+    return _found(a, b, np.concatenate(still), (table["pass"][0].as_py(), table["dim"][0].as_py(), block, block + 2))
+
+
+def _tile(table: pa.Table, least: float, window: int, reach: int) -> pa.Table:
+    """Pairs of the vectors of one block that go on (``own``) with all of a later block."""
+    own = table["own"].to_numpy()
+    mine, theirs = table.filter(pa.array(own)), table.filter(pa.array(~own)).sort_by("rank")
+    block = table["block"][0].as_py()
+    at = (table["pass"][0].as_py(), table["dim"][0].as_py(), table["source"][0].as_py(), block + 1)
+    none = np.zeros(0, np.int64)
+    if not len(mine) or not len(theirs):
+        return _found(none, none, none, at)
+    hit = _unit(mine["vector"]) @ _unit(theirs["vector"]).T >= least
+    i, j = np.nonzero(hit)
+    ids, last = mine["id"].to_numpy(), mine["end"].to_numpy() == block + 1
+    go = last & hit[:, -window:].any(axis=1) if len(theirs) == reach else np.zeros(len(ids), bool)
+    return _found(ids[i], theirs["id"].to_numpy()[j], ids[go], at)
+
+
+def _go_on(found: DataFrame, places: DataFrame, vectors: DataFrame, least: float, window: int, reach: int) -> DataFrame:
+    """All links, those of walks over more than two blocks included. Each round reaches twice as many blocks."""
+    still = found.where("pass >= 0")
+    if still.isEmpty():
+        return found.where("pass < 0").select("a", "b")
+    places, parts, width = save(places, "places"), [found], 1
+    while not still.isEmpty():
+        ask = still.select(F.col("a").alias("id"), "pass", "dim", "source", (F.col("next") + width).alias("end"), F.explode(F.sequence("next", F.col("next") + (width - 1))).alias("block"))
+        tiles = ask.select("pass", "dim", "source", "block").distinct()
+        other = tiles.join(places, ["pass", "dim", "block"]).withColumn("own", F.lit(False)).withColumn("end", F.lit(None).cast("long"))
+        rows = ask.withColumn("own", F.lit(True)).withColumn("rank", F.lit(None).cast("long")).unionByName(other).join(vectors, ["id", "dim"])
+        part = save(rows.groupBy("pass", "dim", "source", "block").applyInArrow(lambda t: _tile(t, least, window, reach), FOUND), "tiles")
+        parts.append(part)
+        still, width = part.where("pass >= 0"), width * 2
+    pairs = reduce(DataFrame.unionByName, parts).where("pass < 0 and a <> b").select("a", "b").distinct()
+    links = save(pairs, "links")
+    discard(places, *parts[1:])
+    return links
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int = 16, window: int = 48, reach: int = 2048, seed: int = 7) -> DataFrame:
@@ -87,10 +145,12 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     starts = counts.select("pass", "dim", "cell", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"))
     r = k.withColumn("r", F.row_number().over(Window.partitionBy("pass", "dim", "cell").orderBy("key", "id"))).join(starts, ["pass", "dim", "cell"])
     r = r.withColumn("rank", F.col("start") + F.col("r") - 1).withColumn("block", F.floor(F.col("rank") / reach))
-    r = r.select("id", "dim", "pass", "rank", F.explode(F.array(F.struct("block", F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).alias("to")).where("to.block >= 0")
+    places = r.select("id", "dim", "pass", "rank", "block")
+    r = places.select("id", "dim", "pass", "rank", F.explode(F.array(F.struct("block", F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).alias("to")).where("to.block >= 0")
     rows = r.join(vectors.select("id", "vector"), "id").select("pass", "dim", "to.block", "to.own", "rank", "id", "vector")
-    pairs = rows.groupBy("pass", "dim", "block").applyInArrow(lambda t: _links(t, least, window), "a long, b long")
-    links = save(pairs.where("a <> b").distinct(), "links")
+    found = rows.groupBy("pass", "dim", "block").applyInArrow(lambda t: _links(t, least, window, reach), FOUND)
+    found = save(found.where("a <> b or pass >= 0").distinct(), "links")
+    links = _go_on(found, places, vectors, least, window, reach)
     labels = save(components(links), "labels")
     members = classes.select(F.col("rep").alias("id"), "members")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
