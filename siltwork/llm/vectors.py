@@ -1,13 +1,15 @@
 """Near-duplicate vectors by sorted projection passes.
 
-A pass orders vectors by the bits of 63 random projections. Each vector is compared with its neighbours
-in that order: with the next ``window``, and on as long as links are found within the last ``window`` of them. A task holds a
-block of ``reach`` vectors and the next; a vector that still links at the end of these goes on, tile by tile of two blocks, so
-no cluster is too large. Equal vectors are one class first. Pairs verified in any pass are links; components unite them.
+A pass orders vectors by the bits of 63 random projections. A task holds a block of ``reach`` vectors in that order and the
+next, and compares each vector of the block with all that follow. A vector goes on, tile by tile of two blocks, while the
+vectors there share its first ``depth`` bits or links are found within the last ``window`` of them. So all pairs that share
+these bits are compared, whatever lies between, and the number of passes follows from the depth and the recall asked for.
+Equal vectors are one class first. Pairs verified in any pass are links; components unite them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -18,6 +20,21 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import components, discard, save
 
 BITS = 63
+#: Vectors of a block compared at once.
+STRIP = 512
+
+
+def plan(n: int, least: float, reach: int, recall: float) -> tuple[int, int]:
+    """Depth and passes for ``n`` vectors: a pair with a cosine of ``least`` is missed with a chance of 1 - ``recall`` at most.
+
+    A bit is shared with a chance of 1 - angle / pi, whatever the other vectors are; a bucket of ``depth`` bits has
+    ``reach`` vectors on average at most. At depth 0 one pass compares all pairs.
+    """
+    depth = max(0, math.ceil(math.log2(max(n, 1) / reach)))
+    if depth == 0:
+        return 0, 1
+    miss = 1 - (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** depth
+    return depth, 16 if miss <= 0 else max(16, math.ceil(math.log(1 - recall) / math.log(miss)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -26,7 +43,9 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 1))
 
 
-def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
+def _keys(vectors: DataFrame, passes: int, seed: int, first: int = 0) -> DataFrame:
+    """Keys of ``passes`` passes from ``first`` on."""
+
     def run(batches):
         planes = {}
         for b in batches:
@@ -35,7 +54,7 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
                 pick = pa.array(dims == dim)
                 v = _matrix(b.column(2).filter(pick))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * BITS))
+                    planes[dim] = np.random.default_rng([seed, int(dim), first] if first else [seed, int(dim)]).standard_normal((int(dim), passes * BITS))
                 bits = (v @ planes[dim] > 0).reshape(len(v), passes, BITS)
                 keys = bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([ids.filter(pick), pa.array(dims[dims == dim], pa.int32()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["id", "dim", "keys"])
@@ -43,14 +62,15 @@ def _keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("id", "dim", "vector").mapInArrow(run, "id long, dim int, keys array<long>")
 
 
-#: A link has ``pass`` -1; else ``a`` of block ``source`` has still to be compared with block ``next`` and on.
-FOUND = "a long, b long, pass int, dim int, source long, next long"
+#: A link has ``pass`` -1; else ``a`` of block ``source``, in ``bucket``, has still to be compared with block ``next`` and on.
+FOUND = "a long, b long, pass int, dim int, source long, next long, bucket long"
 
 
-def _found(a: np.ndarray, b: np.ndarray, still: np.ndarray, at: tuple[int, int, int, int]) -> pa.Table:
+def _found(a: np.ndarray, b: np.ndarray, still: np.ndarray, bucket: np.ndarray, at: tuple[int, int, int, int]) -> pa.Table:
     n, m = len(a), len(still)
     cols = {"a": np.concatenate([np.minimum(a, b), still]), "b": np.concatenate([np.maximum(a, b), still])}
     cols |= {k: np.concatenate([np.full(n, -1), np.full(m, v)]) for k, v in zip(("pass", "dim", "source", "next"), at, strict=True)}
+    cols["bucket"] = np.concatenate([np.full(n, -1), bucket])
     return pa.table({k: pa.array(v.astype(np.int64)).cast(pa.int32() if k in ("pass", "dim") else pa.int64()) for k, v in cols.items()})
 
 
@@ -62,26 +82,22 @@ def _unit(column) -> np.ndarray:
 def _links(table: pa.Table, least: float, window: int, reach: int) -> pa.Table:
     """Pairs of one block; rows of the next block (``own`` false) only as later neighbours."""
     order = np.argsort(table["rank"].to_numpy())
-    ids, own = table["id"].to_numpy()[order], table["own"].to_numpy()[order]
+    ids, own, bucket = (table[c].to_numpy()[order] for c in ("id", "own", "bucket"))
     v = _unit(table["vector"])[order]
+    mine = np.count_nonzero(own)
     more = np.count_nonzero(~own) == reach  # else no block follows
-    active, still = np.flatnonzero(own), [np.zeros(0, np.int64)]
-    since = np.zeros(len(active), np.int64)
-    a, b, o = [], [], 1
-    while len(active):
-        ok = active + o < len(ids)
-        if more:
-            still.append(ids[active[~ok]])
-        active, since = active[ok], since[ok]
-        hit = np.einsum("ij,ij->i", v[active], v[active + o]) >= least
-        a.append(ids[active[hit]])
-        b.append(ids[active[hit] + o])
-        since = np.where(hit, o, since)
-        go = o - since < window
-        active, since, o = active[go], since[go], o + 1
+    a, b, go = [], [], [np.zeros(0, bool)]
+    for i in range(0, mine, STRIP):
+        near = v[i : min(i + STRIP, mine)] @ v[i:].T >= least - 1e-9
+        x, y = np.nonzero(np.triu(near, 1))
+        hit = np.einsum("ij,ij->i", v[i + x], v[i + y]) >= least
+        a.append(ids[i + x[hit]])
+        b.append(ids[i + y[hit]])
+        go.append(near[:, -window:].any(axis=1))
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    go = np.flatnonzero((np.concatenate(go) | (bucket[:mine] == bucket[-1])) & more)
     block = table["block"][0].as_py()
-    return _found(a, b, np.concatenate(still), (table["pass"][0].as_py(), table["dim"][0].as_py(), block, block + 2))
+    return _found(a, b, ids[go], bucket[go], (table["pass"][0].as_py(), table["dim"][0].as_py(), block, block + 2))
 
 
 def _tile(table: pa.Table, least: float, window: int, reach: int) -> pa.Table:
@@ -92,12 +108,12 @@ def _tile(table: pa.Table, least: float, window: int, reach: int) -> pa.Table:
     at = (table["pass"][0].as_py(), table["dim"][0].as_py(), table["source"][0].as_py(), block + 1)
     none = np.zeros(0, np.int64)
     if not len(mine) or not len(theirs):
-        return _found(none, none, none, at)
+        return _found(none, none, none, none, at)
     hit = _unit(mine["vector"]) @ _unit(theirs["vector"]).T >= least
     i, j = np.nonzero(hit)
-    ids, last = mine["id"].to_numpy(), mine["end"].to_numpy() == block + 1
-    go = last & hit[:, -window:].any(axis=1) if len(theirs) == reach else np.zeros(len(ids), bool)
-    return _found(ids[i], theirs["id"].to_numpy()[j], ids[go], at)
+    ids, last, bucket = mine["id"].to_numpy(), mine["end"].to_numpy() == block + 1, mine["bucket"].to_numpy()
+    go = last & (hit[:, -window:].any(axis=1) | (bucket == theirs["bucket"][-1].as_py())) if len(theirs) == reach else np.zeros(len(ids), bool)
+    return _found(ids[i], theirs["id"].to_numpy()[j], ids[go], bucket[go], at)
 
 
 def _go_on(found: DataFrame, places: DataFrame, vectors: DataFrame, least: float, window: int, reach: int) -> DataFrame:
@@ -107,7 +123,7 @@ def _go_on(found: DataFrame, places: DataFrame, vectors: DataFrame, least: float
         return found.where("pass < 0").select("a", "b")
     places, parts, width = save(places, "places"), [found], 1
     while not still.isEmpty():
-        ask = still.select(F.col("a").alias("id"), "pass", "dim", "source", (F.col("next") + width).alias("end"), F.explode(F.sequence("next", F.col("next") + (width - 1))).alias("block"))
+        ask = still.select(F.col("a").alias("id"), "pass", "dim", "source", "bucket", (F.col("next") + width).alias("end"), F.explode(F.sequence("next", F.col("next") + (width - 1))).alias("block"))
         tiles = ask.select("pass", "dim", "source", "block").distinct()
         other = tiles.join(places, ["pass", "dim", "block"]).withColumn("own", F.lit(False)).withColumn("end", F.lit(None).cast("long"))
         rows = ask.withColumn("own", F.lit(True)).withColumn("rank", F.lit(None).cast("long")).unionByName(other).join(vectors, ["id", "dim"])
@@ -120,12 +136,29 @@ def _go_on(found: DataFrame, places: DataFrame, vectors: DataFrame, least: float
     return links
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int = 16, window: int = 48, reach: int = 2048, seed: int = 7) -> DataFrame:
+def _pass_links(keys: DataFrame, vectors: DataFrame, shift: int, depth: int, least: float, window: int, reach: int) -> DataFrame:
+    """Links of the passes in ``keys``, saved."""
+    k = keys.withColumn("cell", F.shiftright("key", shift))
+    counts = k.groupBy("pass", "dim", "cell").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("pass").orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("pass", "dim", "cell", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"))
+    r = k.withColumn("r", F.row_number().over(Window.partitionBy("pass", "dim", "cell").orderBy("key", "id"))).join(starts, ["pass", "dim", "cell"])
+    r = r.withColumn("rank", F.col("start") + F.col("r") - 1).withColumn("block", F.floor(F.col("rank") / reach))
+    places = r.select("id", "dim", "pass", "rank", "block", F.shiftright("key", BITS - depth).alias("bucket"))
+    r = places.select("id", "dim", "pass", "rank", "bucket", F.explode(F.array(F.struct("block", F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).alias("to")).where("to.block >= 0")
+    rows = r.join(vectors.select("id", "vector"), "id").select("pass", "dim", "to.block", "to.own", "rank", "bucket", "id", "vector")
+    found = rows.groupBy("pass", "dim", "block").applyInArrow(lambda t: _links(t, least, window, reach), FOUND)
+    found = save(found.where("a <> b or pass >= 0").distinct(), "links")
+    return _go_on(found, places, vectors, least, window, reach)
+
+
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int | None = None, window: int = 48, reach: int = 2048, seed: int = 7, recall: float = 0.999) -> DataFrame:
     """Per vector: ``vec_id, n_links, component_id, kept``.
 
     A link has a cosine of ``least`` or more in double precision. Null, empty and zero vectors and vectors with null or non-finite
-    components link with nothing, as do vectors of different lengths. Which links are found is a matter of
-    chance for cosines near ``least``: see the README for recall. A class of equal vectors counts each of its members. An empty
+    components link with nothing, as do vectors of different lengths. Unless ``passes`` is given, their number follows the
+    number of vectors, so that each link is found with a chance of ``recall`` at least; all are found among up to ``reach``
+    vectors. A class of equal vectors counts each of its members. An empty
     table returns no rows; rows with a repeated id each return a row; other columns are ignored.
     """
     d = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -138,19 +171,16 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     vectors = classes.select(F.col("rep").alias("id"), F.size("vector").alias("dim"), "vector")
     n = vectors.count()
     shift = BITS - max(4, min(20, int(n // 4096).bit_length() + 4))
-    k = save(_keys(vectors, passes, seed).select("id", "dim", F.posexplode("keys").alias("pass", "key")), "keys")
-    k = k.withColumn("cell", F.shiftright("key", shift))
-    counts = k.groupBy("pass", "dim", "cell").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("pass").orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("pass", "dim", "cell", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"))
-    r = k.withColumn("r", F.row_number().over(Window.partitionBy("pass", "dim", "cell").orderBy("key", "id"))).join(starts, ["pass", "dim", "cell"])
-    r = r.withColumn("rank", F.col("start") + F.col("r") - 1).withColumn("block", F.floor(F.col("rank") / reach))
-    places = r.select("id", "dim", "pass", "rank", "block")
-    r = places.select("id", "dim", "pass", "rank", F.explode(F.array(F.struct("block", F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).alias("to")).where("to.block >= 0")
-    rows = r.join(vectors.select("id", "vector"), "id").select("pass", "dim", "to.block", "to.own", "rank", "id", "vector")
-    found = rows.groupBy("pass", "dim", "block").applyInArrow(lambda t: _links(t, least, window, reach), FOUND)
-    found = save(found.where("a <> b or pass >= 0").distinct(), "links")
-    links = _go_on(found, places, vectors, least, window, reach)
+    depth, enough = plan(n, least, reach, recall)
+    passes = enough if passes is None else passes
+    rounds = -(-passes // 16)  # no more than 16 passes are on disk at once
+    cuts = [passes * i // rounds for i in range(rounds + 1)]
+    parts = []
+    for first, end in zip(cuts, cuts[1:], strict=False):
+        k = save(_keys(vectors, end - first, seed, first).select("id", "dim", F.posexplode("keys").alias("pass", "key")), "keys")
+        parts.append(_pass_links(k, vectors, shift, depth, least, window, reach))
+        discard(k)
+    links = parts[0] if rounds == 1 else save(reduce(DataFrame.unionByName, parts).distinct(), "links")
     labels = save(components(links), "labels")
     members = classes.select(F.col("rep").alias("id"), "members")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
