@@ -40,6 +40,8 @@ TYPES = {
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A title or given name at the start of a word; what starts with no capital is passed over by its first character.
 _NAMED = rf"(?=[A-ZА-Яг])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
+#: What a token may start with that holds no digit.
+_TOKEN = r"AKIA|[sp]k[-_]|gh[pousr]_|[a-f]{40}"
 _LATIN = ("ba be bi bo da de di do fa fe fi ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se so ta te ti to va ve vi za zo".split(), ("s", "n", "r", "l", "m", "k", "t", "d"))
 _CYRILLIC = ("ба бе би бо да де ди до фа га го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се со та те ти то ва ве ви за зо".split(), ("в", "н", "р", "л", "м", "к", "т", "с"))
 
@@ -47,8 +49,8 @@ _CYRILLIC = ("ба бе би бо да де ди до фа га го ка ке 
 def mentions(text: Column) -> Column:
     """Mentions of a text in order; none for null."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    # every type but names and some tokens has a digit or an @
-    possible = t.rlike("[0-9@]") | t.contains("eyJ") | t.rlike(_NAMED)
+    # every type but names and the tokens of _TOKEN has a digit, an @ or eyJ
+    possible = t.rlike("[0-9@]") | t.contains("eyJ") | t.rlike(_TOKEN) | t.rlike(_NAMED)
     return F.when(possible, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
