@@ -150,8 +150,10 @@ class Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, those with the smallest text hash: the same at every run."""
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()  # a row for each language label
+    """``per_language`` distinct texts of each language, or all where it has fewer: those with the smallest text hash: the same at every run."""
+    # copies are learned once, so the rate is of distinct texts
+    texts = labelled.select(lang, F.xxhash64(text).alias("__h")).distinct()
+    counts = texts.groupBy(lang).agg(F.count("*").alias("n")).collect()  # a row for each language label
     # a rate that leaves a few times the bound, so that no task sorts a whole language
     rate = F.lit(1.0)
     for row in counts:

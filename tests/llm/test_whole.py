@@ -16,3 +16,11 @@ def test_tokens_without_digits(spark):
         assert x not in bare and x not in mixed
         assert bare.split()[1] == mixed.split()[1].rstrip(",")
     assert out[-1] == texts[-1]
+
+
+def test_copies_do_not_displace_texts(spark):
+    docs = [("en", "one text many times")] * 5000 + [("en", f"text number {i}") for i in range(50)] + [("de", f"Satz {i}") for i in range(40)]
+    got = language.sample(spark.createDataFrame(docs, "lang string, text string"), "text", "lang", 30)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert sorted(x for x, _ in rows) == ["de"] * 30 + ["en"] * 30
