@@ -17,6 +17,8 @@ PII_KEY = "siltwork-demo-key"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts in no language: null, or without a letter. Learns from the labelled documents given."""
     model = language.train(docs.where(~language.held_out()))
+    if not model.languages:  # nothing to learn from: every prediction would be und
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = language.identify(docs, model, lang_pred="__pred", score="__score")
     return out.where(F.col("__pred") != language.UNDETERMINED).select(docs.columns)
 

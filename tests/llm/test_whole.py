@@ -24,3 +24,10 @@ def test_copies_do_not_displace_texts(spark):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows))
     assert sorted(x for x, _ in rows) == ["de"] * 30 + ["en"] * 30
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, "12 %", None), (3, None, None), (4, "ein Satz", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4]
