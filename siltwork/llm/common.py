@@ -104,5 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if (now["n"], now["h"]) == seen:
             break
         seen = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("id"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -31,3 +31,10 @@ def test_language_stage_without_labels(spark):
     out = corpus_pipeline.language_id(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
+def test_components_that_do_not_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(edges, max_rounds=1)
+    assert {r.component for r in common.components(edges).collect()} == {0}
