@@ -1,56 +1,39 @@
 """Vectorised hashing of words and byte strings, straight from Arrow's buffers.
 
-All hashes are differences of prefix sums of a polynomial modulo 2**64 (its base is odd, so it has an
-inverse), mixed afterwards. Work goes block by block of whole documents, to bound memory.
+A span of bytes is hashed eight bytes at a time, a window of words by doubling: each step mixes two values by a
+bijection of either, so no run of bytes is special as it is to a polynomial modulo 2**64. Where a hash stands for the
+content itself, two of different seeds are taken, 128 bits. Work goes block by block of whole documents, to bound memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U)
+_A, _B, _C = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xA24BAED4963EE407)
 #: Bytes that are looked at together; a longer document is a block of its own.
 BLOCK = 1 << 20
+#: Spans up to this many bytes are hashed side by side, longer ones one by one.
+LONG = 512
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def inverse(a: np.uint64) -> np.uint64:
-    x = int(a)
-    for _ in range(6):
-        x = x * (2 - int(a) * x) % 2**64
-    return U(x)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, as far as they were needed."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", inverse(self.base))):
-                x = np.full(n, b, U)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = Powers(_BASE), Powers(_WORD_BASE)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes, in order."""
+    return mix(a * _A + (b ^ _B))
 
 
 def column_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +61,27 @@ def blocks(off: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = _BYTES.get(len(data) + 1)
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * up[:-1], out=out[1:])
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end. A view of a copy of ``data``."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from start to end, by content and length."""
-    _, down = _BYTES.get(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+def span_hash(data: np.ndarray, x8: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes from start to end, by content and length. ``x8``: :func:`eights` of ``data``."""
+    size = end - start
+    h = mix(size.astype(U) * _C + U(seed))
+    who, done = np.flatnonzero(size <= LONG), 0
+    while len(who := who[size[who] > done]):
+        x, left = x8[start[who] + done], size[who] - done
+        ends = np.flatnonzero(left < 8)
+        x[ends] &= (U(1) << (left[ends] * 8).astype(U)) - U(1)
+        h[who] = mix(h[who] ^ x) * _A
+        done += 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 class Words:
@@ -108,32 +101,54 @@ class Words:
         after[:-1] = inside[1:]
         ends = inside & (~after | edge[1:])
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.hash = span_hash(prefix_sums(data), self.start, self.end)
+        self.data, self.x8 = data, eights(data)
+        self.hash = span_hash(data, self.x8, self.start, self.end)
         self.first = np.searchsorted(self.start, off)
         self.begins, self.inside = begins, inside
         self.count = np.diff(self.first)
 
-    def rolling(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(start word, hash)`` of all windows of ``width`` words within a document."""
+    def second(self) -> np.ndarray:
+        """Hashes of the words by another seed."""
+        return span_hash(self.data, self.x8, self.start, self.end, 1)
+
+    def starts(self, width: int) -> np.ndarray:
+        """Start words of all windows of ``width`` words within a document."""
         n = len(self.hash)
         if n < width:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        up, down = _WORDS.get(n + 1)
-        p = np.zeros(n + 1, U)
-        np.cumsum(self.hash * up[:n], out=p[1:])
-        h = mix((p[width:] - p[: n - width + 1]) * down[: n - width + 1] + U(width))
+            return np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(self.count)), self.count)
-        at = np.arange(n - width + 1)
-        ok = doc[at] == doc[at + width - 1]
-        return at[ok], h[ok]
+        return np.flatnonzero(doc[: n - width + 1] == doc[width - 1 :])
 
-    def whole(self) -> np.ndarray:
-        """Hash of each document's whole word sequence."""
-        n = len(self.hash)
-        up, down = _WORDS.get(n + 1)
-        p = np.zeros(n + 1, U)
-        np.cumsum(self.hash * up[:n], out=p[1:])
-        return mix((p[self.first[1:]] - p[self.first[:-1]]) * down[self.first[:-1]] + self.count.astype(U))
+    def rolling(self, width: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(start word, hash)`` of all windows of ``width`` words within a document."""
+        x = self.hash if words is None else words
+        at = self.starts(width)
+        if not len(at):
+            return at, np.zeros(0, U)
+        n, levels = len(x) - width + 1, [x]
+        while 2 << (len(levels) - 1) <= width:
+            step = 1 << (len(levels) - 1)
+            levels.append(joined(levels[-1][:-step], levels[-1][step:]))
+        h, done = None, 0
+        for k in range(len(levels) - 1, -1, -1):
+            if width >> k & 1:
+                piece = levels[k][done : done + n]
+                h = piece if h is None else joined(h, piece)
+                done += 1 << k
+        return at, mix(h[at] + U(width))
+
+    def rolling128(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start word, hash, hash by another seed)`` of all windows."""
+        at, h = self.rolling(width)
+        return at, h, self.rolling(width, self.second())[1]
+
+    def whole(self, width: int) -> np.ndarray:
+        """Hash of the whole word sequence of each document with less than ``width`` words; of others, of its start."""
+        out = np.full(len(self.count), _C, U)
+        for k in range(min(width - 1, int(self.count.max(initial=0)))):
+            has = self.count > k
+            out[has] = joined(out[has], self.hash[self.first[:-1][has] + k])
+        return mix(out + self.count.astype(U))
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,32 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode, else an error,
+    since executors of a cluster would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siltwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/siltwork/{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL = threading.local()
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run within go as soon as each ends."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files of finished steps go when the driver collects its garbage
+    for paths in getattr(_LOCAL, "saved", ()):
+        paths.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)  # the folder of this table alone
+
+
 def discard(*saved: DataFrame) -> None:
     """Delete saved tables once what was made from them is saved in turn. Nothing may read them afterwards."""
     for df in saved:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.saved_at)
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` with its result saved, and all that was saved on the way deleted, also where ``f`` fails."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        spark, out = df.sparkSession, None
+        if not hasattr(_LOCAL, "saved"):
+            _LOCAL.saved = []
+        _LOCAL.saved.append([])
+        try:
+            out = save(f(df, *args, **options), f.__name__)
+        finally:
+            for path in _LOCAL.saved.pop():
+                if out is None or path != out.saved_at:
+                    _delete(spark, path)
+        return out
+
+    return run
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -81,29 +126,52 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
 
 
+def meet(big: DataFrame, small: DataFrame, key: str | list[str], hot: int, how: str = "inner") -> DataFrame:
+    """Equi join of ``big`` with ``small(key, n, ...)``, unique by ``key``; ``n``: rows of ``big`` with the key.
+
+    Keys with more than ``hot`` rows are broadcast, so no task holds all rows of one; with ``hot`` a share of the rows of
+    ``big``, they are few. The others are joined as Spark sees fit. ``n`` is dropped.
+    """
+    often = small.where(F.col("n") > hot).drop("n").withColumn("__hot", F.lit(True))
+    d = big.join(F.broadcast(often), key, "left")
+    found = d.where("__hot").drop("__hot")
+    rest = d.where("__hot is null").select(big.columns).join(small.where(F.col("n") <= hot).drop("n"), key, how)
+    return found.unionByName(rest)
+
+
+#: A key is hot with over this many rows, or a share of all rows such that at most 4096 keys are hot.
+HOT_ROWS, HOT_KEYS = 1000, 4096
+
+
+def hot_bound(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long): ``(id, component)`` with the smallest id reachable.
 
-    Alternates large-star and small-star rounds, each a partial aggregation and an equi join, so that a
-    hub is neither collected nor sent to one task whole. Ids without an edge do not appear.
+    Alternates large-star and small-star rounds, each a partial aggregation and an equi join; the minimum of an
+    id with very many edges is broadcast, so that no task gets all of them. Ids without an edge do not appear. An empty table
+    gives no rows; rounds that do not settle raise.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, n = None, e.count()
     for _ in range(max_rounds):
+        hot = hot_bound(2 * n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("u > m").select("u", F.col("m").alias("v")))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, e = e, save(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        discard(last)
+        low = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "low")
+        large = meet(both.where("v > u"), low, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = save(large.unionByName(low.where("u > m").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "large")
+        below = save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "below")
+        small = meet(large, below, "u", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, save(small.unionByName(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(last, low, large, below)
         # a star forest is the fixed point: no end of an edge is the start of another
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == seen:
+        n = now["n"]
+        if (n, now["h"]) == seen:
             break
-        seen = (now["n"], now["h"])
+        seen = (n, now["h"])
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("id"), F.col("v").alias("component"))

@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches of word shingles.
 
 1. Each text gives its set of shingles (64-bit hashes) by one hash function, the ``k`` smallest as its sketch, and a
-   128-bit hash of the set. Equal sets are one class from there on, represented by their smallest doc_id.
+   128-bit hash of the set. Equal sets are one class from there on, with a number of its own, whatever ids its rows have.
 2. Inverted lists of retained values. Two sets that are similar enough share at least ``_need`` retained
    values (surely where sketches are whole sets, else up to about 1e-10), so of each sketch only a prefix must
    be listed. In the prefix order, values that very many classes retain come last.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, bound_batches, components, discard, release_caches, save, tidy
+from siltwork.llm.common import NULL_ID, bound_batches, components, discard, hot_bound, meet, release_caches, save, tidied, tidy
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -33,7 +33,7 @@ def shingle_sets(table, width: int):
     for i, j in blocks(off):
         w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
         at, h = w.rolling(width)
-        whole = w.whole()
+        whole = w.whole(width)
         cut = np.searchsorted(at, w.first)
         for r in range(j - i):
             if w.count[r] >= width:
@@ -62,18 +62,22 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
+    """``id, text_hash, size, hi, lo, sketch`` of every row."""
+
     def run(batches):
         release_caches()
         for b in batches:
-            rows = []
-            for d, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width), strict=True):
-                rows.append((d, len(s), *_set_hash(s), _sketch(s, k)))
-            c = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "hi", "lo", "sketch"])
+            rows = [(len(s), *_set_hash(s), _sketch(s, k)) for s in shingle_sets(b.column(2), width)]
+            c = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "text_hash", "size", "hi", "lo", "sketch"])
         tidy()
 
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.col("text").cast("string"))
-    return d.mapInArrow(run, "id long, n long, hi long, lo long, sketch binary")
+    return _keyed(docs).mapInArrow(run, "id long, text_hash long, size long, hi long, lo long, sketch binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _need(n: int, k: int, share: float) -> int:
@@ -141,19 +145,16 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets, saved."""
     # ids alone, so that Spark broadcasts them while they are few, and the texts are not shuffled
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = save(reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), "first.id", "first.text_hash"), "ids")
 
     def sets(batches):
         for b in batches:
-            full = list(shingle_sets(b.column(1), width))
-            hashes = [_set_hash(s) for s in full]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[i] for h in hashes], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in full], pa.binary())], names=["id", "hi", "lo", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), width)], pa.binary())], names=["id", "s"])
         tidy()
 
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    saved = save(d.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, hi long, lo long, s binary"), "full")
-    # rows with one doc_id and several texts: the one that the sketch is of
-    full = saved.join(reps.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi").select("id", "s").dropDuplicates(["id"])
+    saved = save(_keyed(docs).join(ids, ["id", "text_hash"]).select("class", "text").mapInArrow(sets, "id long, s binary"), "full")
+    full = saved.dropDuplicates(["id"])  # rows that repeat a text
 
     def run(batches):
         for b in batches:
@@ -246,51 +247,59 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
     return few.unionByName(many).distinct()
 
 
+@tidied
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int = 256) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``.
+    """Per document: ``doc_id, n_shingles, component_id, kept, text_hash, group, lead``.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; a component is
-    named by its smallest doc_id, which alone is kept. Texts with fewer than ``width`` words are one shingle; null,
-    empty and blank texts have none and link with nothing. Rows with the same doc_id count as one document, a null doc_id as
-    the last one; an empty table returns no rows; other columns are ignored.
+    named by its smallest doc_id, a null one coming last, and its documents with this id are ``kept``. Texts with fewer than
+    ``width`` words are one shingle; null, empty and blank texts have none and link with nothing. Rows with the same doc_id
+    are documents of their own; ``group`` is one number for each component (null without shingles) and ``lead`` holds for one pair of doc_id
+    and ``text_hash`` in each, so that one document can be kept whatever the ids. An empty table returns no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     share = percent / 100
     sketches = save(_sketches(docs, k, width), "sketches")
-    sets = save(sketches.select("id", "hi", "lo", "n"), "sets")
-    classes = save(sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch")), "classes")
+    sets = save(sketches.select("id", "text_hash", "size", "hi", "lo"), "sets")
+    first = F.struct("id", "text_hash")
+    classes = sketches.where("size > 0").groupBy("hi", "lo", "size").agg(F.min(first).alias("first"), F.min_by("sketch", first).alias("sketch"), F.count("*").alias("rows"))
+    # numbers are written once, so that they stay
+    classes = save(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     discard(sketches)
-    names = save(classes.select("hi", "lo", "n", "rep"), "names")
-    every = save(classes.select(F.col("rep").alias("id"), "n", "hi", "lo", "sketch").dropDuplicates(["id"]), "representatives")
-    discard(classes)
+    names = save(classes.select("hi", "lo", "size", "class", "first", "rows"), "names")
+    every = classes.select(F.col("class").alias("id"), F.col("size").alias("n"), "sketch", "first")
     often = max(64, every.count() // 2000)
     first = _listed(every, k, share, _broadcast(every, {})).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
     hot = {r["value"]: r["c"] for r in first.collect()}  # at most 2000 * k values
     known = _broadcast(every, hot)
     listed = save(_listed(every, k, share, known), "lists")
-    lists = listed.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("hub")).where("n > 1")
-    shared = save(listed.join(lists, "value").select("value", "id", "m", "n", "hub"), "shared")
-    discard(listed)
+    bound = hot_bound(listed.count())
+    lists = save(listed.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("id", "m")).alias("hub")).where("n > 1").withColumn("long", F.col("n")), "hubs")
+    shared = save(meet(listed, lists, "value", bound).withColumnRenamed("long", "n"), "shared")
+    discard(listed, lists)
     # from here on only sets that share a listed value
     reps = save(every.join(shared.select("id").distinct(), "id", "left_semi"), "members")
-    discard(every)
+    discard(classes)
     star = shared.where((F.col("id") != F.col("hub.id")) & _sizes_allow(F.col("m"), F.col("hub.m"), share)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     tested = save(_estimated(star, reps, k, share), "star")
     links = _verified(tested, docs, reps, width, percent)
     labels = save(components(links), "labels")
-    rows = shared.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("value")
-    rows = save(rows.join(mixed, "value").select("value", "id", "label", "n", "m"), "mixed")
+    rows = save(shared.join(labels.select("id", F.col("component").alias("label")), "id", "left").select("value", "id", F.coalesce("label", "id").alias("label"), "n", "m"), "labelled")
     discard(shared)
+    mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m").select("value", "n")
+    rows, whole = save(meet(rows, mixed, "value", bound), "mixed"), rows
+    discard(whole)
     more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
     discard(rows, tested)
     links = links.unionByName(_verified(more, docs, reps, width, percent))
-    labels = save(components(links), "labels2")
     discard(reps, more)
-    named = names.select("hi", "lo", "n", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["hi", "lo", "n"], "left")
-    component = F.coalesce("component", "id")
-    out = out.select("id", "n", component.alias("component"))
-    doc = F.when(F.col("id") != NULL_ID, F.col("id"))
-    return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    labels = save(components(links), "labels2")
+    named = names.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
+    leads = named.groupBy("group").agg(F.min("first").alias("lead_of"), F.count("*").alias("n"))
+    named = meet(named.select("hi", "lo", "size", "group", "rows"), leads, "group", bound).withColumnRenamed("rows", "n")
+    out = meet(sets, save(named, "named"), ["hi", "lo", "size"], hot_bound(sets.count()), "left")
+    doc, lead = F.when(F.col("id") != NULL_ID, F.col("id")), F.coalesce("lead_of", F.struct("id", "text_hash"))
+    out = out.select("id", doc.alias("doc_id"), F.col("size").alias("n_shingles"), "text_hash", "group", lead.alias("lead"))
+    component = F.col("lead")["id"]
+    return out.select("doc_id", "n_shingles", F.when(component != NULL_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"), "text_hash", "group", (F.col("lead") == F.struct("id", "text_hash")).alias("lead"))

@@ -2,9 +2,9 @@
 
 Every document is cut into non-overlapping blocks of ``width // 2`` words, the reference blocks: any window
 of ``width`` words holds one whole. Every rolling window of that many words probes them. Where a probe
-hits, the repeat is extended: all ``width``-word windows over the hit are compared by a 64-bit fingerprint of
-their whole word sequence, and the union of the windows that also start in a smaller document is removed,
-which is every maximal repeat of ``width`` words or more.
+hits, the repeat is extended, window by window: all ``width``-word windows over the hit are compared by a 128-bit fingerprint
+of their whole word sequence, and the union of the windows that also start in a smaller document, which is every
+maximal exact repeat of ``width`` words or more, is removed. Windows over no hit are never compared.
 
 Documents travel in chunks of a few MB (a hash of the row); hashes go to buckets of the hash space, as one sorted
 set for each chunk and bucket. A passage that a third of all documents share is thus one entry for each
@@ -15,24 +15,47 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, by_bucket, column_bytes, in_sorted, packed, unpacked
-from siltwork.llm.common import NULL_ID, text_bytes
+from siltwork.llm.common import NULL_ID, save
 
 _BITS = 43
 SENT = "bucket int, chunk long, body binary"
 
 
-def in_chunks(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
-    """``chunk, doc_id, ord, text`` with rows dealt into chunks; and how many chunks. ``ord``: the id to compare."""
-    n = max(1, text_bytes(docs) // chunk_bytes)
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("chunk"), "doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("ord"), "text")
+def in_chunks(docs: DataFrame, chunk_bytes: int = 4 << 20, copies: int = 1, least: int = 16) -> tuple[DataFrame, int]:
+    """``chunk, doc_id, ord, text, times`` with rows dealt into chunks; and how many chunks. ``ord``: the id to compare.
+
+    There are ``least`` chunks at least, where these still have 64 KB. Rows that repeat in id and text are reduced
+    to ``copies`` rows; ``times`` says how many rows each stands for, so that no chunk gets all of very many such rows.
+    """
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = d.withColumn("ord", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("h", F.xxhash64("text"))
+    seen = Observation()
+    keys = d.groupBy("ord", "h").agg(F.count("*").alias("times"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).observe(seen, F.sum("bytes").alias("bytes"))
+    again = save(keys.where("times > 1").select("ord", "h", "times"), "again")
+    size = seen.get["bytes"] or 0
+    n = max(1, size // chunk_bytes, min(least, size >> 16))
+    if again.isEmpty():
+        d = d.withColumn("times", F.lit(1).cast("long")).withColumn("copy", F.lit(0))
+    else:
+        once = d.join(again, ["ord", "h"], "left_anti").withColumn("times", F.lit(1).cast("long")).withColumn("copy", F.lit(0))
+        many = d.join(again, ["ord", "h"]).dropDuplicates(["ord", "h"])
+        many = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        many = many.withColumn("times", F.when(F.col("copy") == 0, F.col("times") - (copies - 1)).otherwise(1).cast("long"))
+        d = once.unionByName(many.select(once.columns))
+    d = d.select(F.pmod(F.xxhash64("ord", "h", "copy"), F.lit(n)).alias("chunk"), "doc_id", "ord", "text", "times")
     return d.repartition("chunk"), n
 
 
+def times(out: DataFrame) -> DataFrame:
+    """Each row as often as its ``times`` says."""
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+
+
 def sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     b, c, x = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array(c, pa.int64()), "body": pa.array(x, pa.binary())})
@@ -72,13 +95,41 @@ def _merged(table: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U)
 
 
+def classes(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal 128-bit values ``f, g`` together, and where each of them begins in it."""
+    order = np.argsort(f, kind="stable")
+    x, y = f[order], g[order]
+    if len(x) and ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((g, f))
+        x, y = f[order], g[order]
+    return order, np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+
+
+def place_of(f: np.ndarray, g: np.ndarray, known_f: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Where each 128-bit value is in the known ones, sorted by ``known_f``; -1 where it is not."""
+    out = np.full(len(f), -1)
+    if not len(known_f):
+        return out
+    at, last = np.searchsorted(known_f, f), len(known_f) - 1
+    left = np.flatnonzero(known_f[np.minimum(at, last)] == f)
+    while len(left):  # once, unless known values agree in their first half
+        here = at[left]
+        ok = known_g[here] == g[left]
+        out[left[ok]] = here[ok]
+        left = left[~ok]
+        at[left] += 1
+        left = left[(at[left] <= last) & (known_f[np.minimum(at[left], last)] == f[left])]
+    return out
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 4 << 20) -> DataFrame:
     """Per document: ``doc_id, text, n_words, n_removed, kept`` (its kept words joined by one space).
 
     A word goes when a window of ``width`` words that covers it also starts in a document with a smaller
     doc_id, judged on the input. Null and empty texts have no words; documents under ``width`` words stay. Rows with
     the same doc_id count as one document; a null doc_id comes after all others. Repeated rows return one
-    row each; an empty table returns none; other columns are ignored.
+    row each; an empty table returns none; other columns are ignored. ``chunk_bytes`` bounds what a task holds; the
+    result does not depend on it.
     """
     block = width // 2
     d, n = in_chunks(docs, chunk_bytes)
@@ -106,18 +157,19 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 4 << 20)
         return sent([(b, chunk, packed(v[x:y])) for b, x, y in by_bucket(v, _BITS + 1, n_buckets)])
 
     def windows(table):
-        """Of all windows: fingerprint, document's row, start word in the chunk; and the words by block."""
+        """Of all windows: fingerprint in two halves, document's row, start word in the chunk."""
         data, off = column_bytes(table["text"])
-        fs, rows, starts, base = [], [], [], 0
+        fs, gs, rows, starts, base = [], [], [], [], 0
         for i, j in blocks(off):
             w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            at, h = w.rolling(width)
-            fs.append(h)
+            at, f, g = w.rolling128(width)
+            fs.append(f)
+            gs.append(g)
             rows.append(i + np.searchsorted(w.first, at, "right") - 1)
             starts.append(at + base)
             base += len(w.hash)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return cat(fs, U), cat(rows, np.int64), cat(starts, np.int64)
+        return cat(fs, U), cat(gs, U), cat(rows, np.int64), cat(starts, np.int64)
 
     def hit_windows(table, known):
         """Which windows, as by :func:`windows`, cover a whole anchor that other places hold."""
@@ -147,54 +199,51 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 4 << 20)
         return np.concatenate(out or [np.zeros(0, bool)])
 
     def extend(key, table, back):
+        """Windows over a hit, each once: its smallest document here, and whether others here hold it too."""
         chunk = key[0].as_py()
         if not table.num_rows:
             return sent([])
         take = hit_windows(table, _merged(back))
-        f, row, _ = windows(table)
-        f, ids = f[take], table["ord"].to_numpy()[row[take]]
-        order = np.lexsort((ids, f))
-        f, ids = f[order], ids[order]
-        first = np.r_[True, f[1:] != f[:-1]] if len(f) else np.zeros(0, bool)
-        f, ids = f[first], ids[first]
-        return sent([(b, chunk, f[x:y].tobytes() + ids[x:y].tobytes()) for b, x, y in by_bucket(f, 64, n_buckets)])
+        f, g, row, _ = windows(table)
+        f, g, ids = f[take], g[take], table["ord"].to_numpy()[row[take]]
+        order, first = classes(f, g)
+        if not len(first):
+            return sent([])
+        low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
+        f, g, more = f[order][first], g[order][first], low < high
+        return sent([(b, chunk, f[x:y].tobytes() + g[x:y].tobytes() + low[x:y].tobytes() + more[x:y].tobytes()) for b, x, y in by_bucket(f, 64, n_buckets)])
 
     def smallest(key, table):
-        """For each chunk: fingerprints with a smaller document elsewhere, and that document."""
+        """For each chunk: fingerprints that documents of it share with a smaller one, and the smallest."""
         chunks, bodies = table["chunk"].to_pylist(), [x.as_py() for x in table["body"]]
-        f = np.concatenate([np.frombuffer(x, U, len(x) // 16) for x in bodies])
-        ids = np.concatenate([np.frombuffer(x, np.int64, offset=len(x) // 2) for x in bodies])
-        who = np.repeat(np.arange(len(bodies)), [len(x) // 16 for x in bodies])
-        order = np.argsort(f, kind="stable")
-        f, ids, who = f[order], ids[order], who[order]
-        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        if not bodies:
+            return answers([])
+        n = [len(x) // 25 for x in bodies]
+        f, g, ids = (np.concatenate([np.frombuffer(x, t, k, 8 * k * i) for x, k in zip(bodies, n, strict=True)]) for i, t in enumerate((U, U, np.int64)))
+        more = np.concatenate([np.frombuffer(x, bool, k, 24 * k) for x, k in zip(bodies, n, strict=True)])
+        who = np.repeat(np.arange(len(bodies)), n)
+        order, first = classes(f, g)
+        f, g, ids, more, who = (x[order] for x in (f, g, ids, more, who))
         low = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(f)]))
-        ok = low < ids
-        f, low, who = f[ok], low[ok], who[ok]
+        ok = (low < ids) | more
+        f, g, low, who = f[ok], g[ok], low[ok], who[ok]
         order = np.lexsort((f, who))
-        f, low, who = f[order], low[order], who[order]
+        f, g, low, who = f[order], g[order], low[order], who[order]
         at = np.searchsorted(who, np.arange(len(chunks) + 1))
-        return answers([(c, f[a:b].tobytes() + low[a:b].tobytes()) for c, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a])
+        return answers([(c, f[a:b].tobytes() + g[a:b].tobytes() + low[a:b].tobytes()) for c, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a])
 
     def finish(table, back):
         data, off = column_bytes(table["text"])
         ids = table["ord"].to_numpy()
-        f, row, start = windows(table)
-        mine = ids[row]
-        low = mine.copy()
-        order = np.argsort(f, kind="stable")
-        if len(f):
-            first = np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
-            low[order] = np.repeat(np.minimum.reduceat(mine[order], first), np.diff(np.r_[first, len(f)]))
         bodies = [x.as_py() for x in back["body"]]
-        if bodies and len(f):
-            g = np.concatenate([np.frombuffer(x, U, len(x) // 16) for x in bodies])
-            k = np.concatenate([np.frombuffer(x, np.int64, offset=len(x) // 2) for x in bodies])
-            order = np.argsort(g)
-            g, k = g[order], k[order]
-            at = np.minimum(np.searchsorted(g, f), len(g) - 1)
-            low = np.where(g[at] == f, np.minimum(low, k[at]), low)
-        gone = start[low < mine]
+        gone = np.zeros(0, np.int64)
+        if bodies and table.num_rows:
+            f, g, row, start = windows(table)
+            p, q, k = (np.concatenate([np.frombuffer(x, t, len(x) // 24, len(x) // 3 * i) for x in bodies]) for i, t in enumerate((U, U, np.int64)))
+            order = np.argsort(p, kind="stable")
+            p, q, k = p[order], q[order], k[order]
+            at = place_of(f, g, p, q)
+            gone = start[(at >= 0) & (k[at] < ids[row])]
         base, n_words, n_removed, kept = 0, [], [], []
         for i, j in blocks(off):
             o = off[i : j + 1] - off[i]
@@ -224,10 +273,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_bytes: int = 4 << 20)
             sums = np.r_[0, np.cumsum(flags)]
             text = text[flags].tobytes()
             kept += [text[a:b].strip(b" ") for a, b in zip(sums[o[:-1]].tolist(), sums[o[1:]].tolist(), strict=True)]
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()), "times": table["times"]})
 
     hits = d.groupBy("chunk").applyInArrow(probe, SENT).groupBy("bucket").applyInArrow(live, "chunk long, body binary")
     more = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, SENT)
     low = more.groupBy("bucket").applyInArrow(smallest, "chunk long, body binary")
-    out = "doc_id long, n_words long, n_removed long, kept binary"
-    return d.groupBy("chunk").cogroup(low.groupBy("chunk")).applyInArrow(finish, out)
+    out = "doc_id long, n_words long, n_removed long, kept binary, times long"
+    return times(d.groupBy("chunk").cogroup(low.groupBy("chunk")).applyInArrow(finish, out))

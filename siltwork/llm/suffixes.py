@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.bytehash import BLOCK, U, by_bucket, column_bytes, mix, packed, prefix_sums, span_hash, unpacked
-from siltwork.llm.substring import SENT, answers, in_chunks, sent
+from siltwork.llm.bytehash import BLOCK, U, by_bucket, column_bytes, eights, joined, mix, packed, span_hash, unpacked
+from siltwork.llm.substring import SENT, answers, classes, in_chunks, place_of, sent, times
 
 #: Places a string may have its anchor at, and bytes of the hash that chooses it.
 REACH, GRAM = 128, 16
@@ -63,9 +63,10 @@ class Anchors:
         self.a = self.lo = self.hi = np.zeros(0, np.int64)
         if n < width:
             return
-        self.sums = prefix_sums(data)
+        self.data, self.x8 = data, eights(data)
         at = np.arange(n - GRAM + 1)
-        m = span_hash(self.sums, at, at + GRAM) >> U(_POS) << U(_POS) | at.astype(U)
+        x8 = self.x8[: n - 7].copy()
+        m = joined(x8[: len(at)], x8[8 : 8 + len(at)]) >> U(_POS) << U(_POS) | at.astype(U)
         step = 1
         while step < REACH:
             m = np.minimum(m[:-step], m[step:])
@@ -83,14 +84,14 @@ class Anchors:
         """Of the bytes that every string with the anchor has after it."""
         if not len(self.a):
             return np.zeros(0, U)
-        return span_hash(self.sums, self.a, self.a + width - REACH + 1)
+        return span_hash(self.data, self.x8, self.a, self.a + width - REACH + 1)
 
-    def classes(self, width: int) -> np.ndarray:
-        """One number for anchors with equal bytes in all their strings and equal offsets."""
+    def contexts(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of one number for anchors with equal bytes in all their strings and equal offsets."""
         if not len(self.a):
-            return np.zeros(0, U)
-        h = span_hash(self.sums, self.lo, self.hi + width)
-        return mix(h + (self.a - self.lo).astype(U) * U(0xC2B2AE3D27D4EB4F))
+            return np.zeros(0, U), np.zeros(0, U)
+        at = (self.a - self.lo).astype(U)
+        return tuple(mix(span_hash(self.data, self.x8, self.lo, self.hi + width, seed) + at * U(0xC2B2AE3D27D4EB4F)) for seed in (0, 1))
 
 
 def live(table: pa.Table) -> pa.Table:
@@ -114,34 +115,66 @@ def live(table: pa.Table) -> pa.Table:
 
 
 class Level:
-    """A suffix array: entries sorted by fingerprint and the bytes after the anchor.
+    """A sparse suffix array: offsets into a store of bytes, sorted by fingerprint and the bytes after the anchor.
 
-    ``right`` and ``left`` hold the bytes after and, reversed, before the anchor, padded with zeros;
-    ``low`` and ``high`` the offsets of the entry's strings before the anchor; ``found`` those repeated.
+    An entry is an anchor with the bytes of all its strings, from ``start``: ``high`` of them before the anchor, the anchor
+    included ``width - low`` after. ``c, d``: its context, ``who``: where it came from; ``found``: bits of the offsets before the anchor
+    whose string occurs in another entry too.
     """
 
-    def __init__(self, f, right, left, low, high, ids, found):
-        self.parts = f, right, left, low, high, ids, found
-        self.f, self.right, self.left, self.low, self.high, self.ids, self.found = self.parts
+    def __init__(self, width: int, store, f, c, d, who, low, high, start, found):
+        self.width, self.store = width, store
+        self.f, self.c, self.d, self.who, self.low, self.high, self.start, self.found = f, c, d, who, low, high, start, found
+
+    @property
+    def parts(self):
+        return self.f, self.c, self.d, self.who, self.low, self.high, self.start, self.found
 
     def __len__(self):
         return len(self.f)
 
-    @staticmethod
-    def joined(x: Level, y: Level) -> Level:
-        out = Level(*(np.concatenate([a, b]) for a, b in zip(x.parts, y.parts, strict=True)))
-        return out.sorted()
+    def take(self, rows: np.ndarray) -> Level:
+        return Level(self.width, self.store, *(p[rows] for p in self.parts))
+
+    def after(self) -> np.ndarray:
+        """The bytes after each anchor, padded with zeros."""
+        at = np.arange(self.width)
+        mid = self.start + self.high
+        return np.where(at < (self.width - self.low)[:, None], self.store[np.minimum(mid[:, None] + at, len(self.store) - 1)], 0).astype(np.uint8)
+
+    def before(self) -> np.ndarray:
+        """The bytes before each anchor, the nearest first, padded with zeros."""
+        at = np.arange(REACH - 1)
+        mid = self.start + self.high
+        return np.where(at < self.high[:, None], self.store[np.maximum(mid[:, None] - 1 - at, 0)], 0).astype(np.uint8)
 
     def sorted(self) -> Level:
-        order = _order(self.f, self.right)
-        return Level(*(p[order] for p in self.parts))
+        return self.take(np.argsort(_keys(self.f, self.after()), kind="stable"))
+
+    def compact(self) -> Level:
+        """The same with a store of its own bytes alone."""
+        size = self.high - self.low + self.width
+        end = np.cumsum(size)
+        store = self.store[np.repeat(self.start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        return Level(self.width, store, *self.parts[:6], end - size, self.found)
+
+    def merged(self, other: Level) -> tuple[Level, np.ndarray]:
+        """Both in one array, by merging: neither is sorted again. And where the entries of ``other`` are."""
+        at = np.searchsorted(_keys(self.f, self.after()), _keys(other.f, other.after()), "right") + np.arange(len(other))
+        mine = np.ones(len(self) + len(other), bool)
+        mine[at] = False
+        out = []
+        for x, y in zip(self.parts, (*other.parts[:6], other.start + len(self.store), other.found), strict=True):
+            z = np.empty((len(mine), *x.shape[1:]), x.dtype)
+            z[mine], z[at] = x, y
+            out.append(z)
+        return Level(self.width, np.concatenate([self.store, other.store]), *out), at
 
 
-def _order(f: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sorting order by fingerprint, then bytes."""
-    keyed = np.concatenate([f.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1)
-    keyed = np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel()
-    return np.argsort(keyed, kind="stable")
+def _keys(f: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Byte strings that sort by fingerprint, then bytes."""
+    keyed = np.ascontiguousarray(np.concatenate([f.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1))
+    return keyed.view(f"S{keyed.shape[1]}").ravel()
 
 
 def _common(f: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -162,12 +195,14 @@ def scan(x: Level, width: int) -> None:
     if n < 2:
         return
     # only entries that share their fingerprint with another can match
-    lcp_right = _common(x.f, x.right)
+    lcp_right = _common(x.f, x.after())
     near = np.maximum(lcp_right, np.r_[lcp_right[1:], -1])
     if near.max() < width - REACH + 1:
         return
-    order = _order(x.f, x.left)
-    lcp_left = _common(x.f[order], x.left[order])
+    before = x.before()
+    order = np.argsort(_keys(x.f, before), kind="stable")
+    lcp_left = _common(x.f[order], before[order])
+    found = np.unpackbits(x.found, axis=1)
     for o in range(REACH):
         ok = (x.low <= o) & (o <= x.high) & (near >= width - o)
         if ok.sum() < 2:
@@ -179,48 +214,55 @@ def scan(x: Level, width: int) -> None:
         key = right[pick] * (n + 1) + left[pick]
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
-        x.found[pick[by[np.r_[same, False] | np.r_[False, same]]], o] = True
+        found[pick[by[np.r_[same, False] | np.r_[False, same]]], o] = 1
+    x.found = np.packbits(found, axis=1)
 
 
 class Family:
-    """Levels of growing size. ``add`` scans a batch against every level, then merges equal sizes."""
+    """Levels of growing size. ``add`` scans a batch against every level, then merges levels of about equal size."""
 
-    def __init__(self, width: int):
-        self.width, self.levels = width, []
+    def __init__(self, width: int, levels: list[Level] | None = None):
+        self.width, self.levels = width, levels or []
 
     def add(self, batch: Level) -> None:
         new = batch.sorted()
         scan(new, self.width)
-        for k, old in enumerate(self.levels):
-            both = Level(*(np.concatenate([a, b]) for a, b in zip(old.parts, new.parts, strict=True)))
+        for old in self.levels:
             # only fingerprints of both can be common strings of a new and an old suffix
-            shared = np.intersect1d(old.f, new.f)
-            take = np.flatnonzero(np.isin(both.f, shared))
-            part = Level(*(p[take] for p in both.parts))
-            order = _order(part.f, part.right)
-            part = Level(*(p[order] for p in part.parts))
-            scan(part, self.width)
-            both.found[take[order]] |= part.found
-            self.levels[k] = Level(*old.parts[:6], both.found[: len(old)])
-            new = Level(*new.parts[:6], both.found[len(old) :])
+            a, b = np.flatnonzero(_in(old.f, new.f)), np.flatnonzero(_in(new.f, old.f))
+            if not len(a):
+                continue
+            both, at = old.take(a).compact().merged(new.take(b).compact())
+            scan(both, self.width)
+            mine = np.ones(len(both), bool)
+            mine[at] = False
+            old.found[a] |= both.found[mine]
+            new.found[b] |= both.found[at]
         while self.levels and len(self.levels[-1]) <= 2 * len(new):
-            new = Level.joined(self.levels.pop(), new)
+            new = self.levels.pop().merged(new)[0]
         self.levels.append(new)
 
 
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _segments_of(table: pa.Table, width: int):
     data, off = column_bytes(table["text"])
     for a, b, o in segments(off, width):
         yield a, data[a:b], Anchors(data[a:b], o, width)
 
 
-def _locally(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur twice."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    same = s[1:] == s[:-1]
-    out = np.zeros(len(keys), bool)
-    out[order] = np.r_[same, False] | np.r_[False, same] if len(keys) else False
+def _locally(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which 128-bit values occur twice."""
+    order, first = classes(c, d)
+    out = np.zeros(len(c), bool)
+    if len(first):
+        size = np.diff(np.r_[first, len(c)])
+        out[order] = np.repeat(size > 1, size)
     return out
 
 
@@ -234,7 +276,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
     """
     if width <= REACH + GRAM:
         raise ValueError(f"width must exceed {REACH + GRAM}")
-    d, n = in_chunks(docs, chunk_bytes)
+    d, n = in_chunks(docs, chunk_bytes, copies=2)
     n_buckets = max(1, n // 2)
 
     def probe(key, table):
@@ -252,29 +294,32 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
         known = np.unique(np.concatenate(known)) if known else np.zeros(0, U)
         if not len(known):
             return sent([])
-        got = []
-        seen = np.zeros(0, U)
+        got, seen = [], (np.zeros(0, U), np.zeros(0, U))
         for _, data, x in _segments_of(table, width):
-            f, c = x.fingerprints(width), x.classes(width)
+            f, (c, e) = x.fingerprints(width), x.contexts(width)
             at = np.minimum(np.searchsorted(known, f >> U(64 - _BITS)), len(known) - 1)
             take = np.flatnonzero(known[at] == f >> U(64 - _BITS))
-            take = take[np.unique(c[take], return_index=True)[1]]
-            take = take[~np.isin(c[take], seen)]
-            seen = np.union1d(seen, c[take])
+            order, first = classes(c[take], e[take])
+            take = take[order[first]]
+            take = take[place_of(c[take], e[take], *seen) < 0]
+            order = np.argsort(np.r_[seen[0], c[take]], kind="stable")
+            seen = tuple(np.r_[s, v[take]][order] for s, v in zip(seen, (c, e), strict=True))
             lo, size = x.lo[take], x.hi[take] - x.lo[take] + width
             end = np.cumsum(size)
             flat = data[np.repeat(lo - end + size, size) + np.arange(end[-1])] if len(take) else np.zeros(0, np.uint8)
-            got.append((f[take], c[take], (x.a - x.hi)[take].astype(np.uint8), (x.a - x.lo)[take].astype(np.uint8), size, flat))
-        f, c, low, high, size, flat = (np.concatenate(p) for p in zip(*got, strict=True))
+            got.append((f[take], c[take], e[take], (x.a - x.hi)[take].astype(np.uint8), (x.a - x.lo)[take].astype(np.uint8), size, flat))
+        if not got:
+            return sent([])
+        f, c, e, low, high, size, flat = (np.concatenate(p) for p in zip(*got, strict=True))
         start = np.cumsum(size) - size
         order = np.argsort(f, kind="stable")
         rows = []
         for b, x, y in by_bucket(f[order], 64, n_buckets):
             pick = order[x:y]
             n = size[pick]
-            e = np.cumsum(n)
-            body = flat[np.repeat(start[pick] - e + n, n) + np.arange(e[-1])]
-            rows.append((b, chunk, np.int64(len(pick)).tobytes() + f[pick].tobytes() + c[pick].tobytes() + low[pick].tobytes() + high[pick].tobytes() + body.tobytes()))
+            end = np.cumsum(n)
+            body = flat[np.repeat(start[pick] - end + n, n) + np.arange(end[-1])]
+            rows.append((b, chunk, np.int64(len(pick)).tobytes() + b"".join(v[pick].tobytes() for v in (f, c, e, low, high)) + body.tobytes()))
         return sent(rows)
 
     def batches(table):
@@ -289,21 +334,16 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
             yield part
 
     def entries(part) -> Level:
-        out = []
+        out, total = [], 0
         for k, body in part:
             n = int(np.frombuffer(body, np.int64, 1)[0])
-            f, c = np.frombuffer(body, U, n, 8), np.frombuffer(body, U, n, 8 + 8 * n)
-            low, high = np.frombuffer(body, np.uint8, n, 8 + 16 * n).astype(np.int64), np.frombuffer(body, np.uint8, n, 8 + 17 * n).astype(np.int64)
-            flat = np.frombuffer(body, np.uint8, offset=8 + 18 * n)
+            f, c, e = (np.frombuffer(body, U, n, 8 + 8 * n * i) for i in range(3))
+            low, high = (np.frombuffer(body, np.uint8, n, 8 + 24 * n + n * i).astype(np.int64) for i in range(2))
+            flat = np.frombuffer(body, np.uint8, offset=8 + 26 * n)
             size = high - low + width
-            start = np.cumsum(size) - size
-            mid = start + high  # the anchor
-            right_size, at = size - high, np.arange(width)
-            right = np.where(at < right_size[:, None], flat[np.minimum(mid[:, None] + at, len(flat) - 1)], 0).astype(np.uint8)
-            at = np.arange(REACH - 1)
-            left = np.where(at < high[:, None], flat[np.maximum(mid[:, None] - 1 - at, 0)], 0).astype(np.uint8)
-            out.append((f, right, left, low, high, np.stack([np.full(n, k, U), c], axis=1), np.zeros((n, REACH), bool)))
-        return Level(*(np.concatenate(p) for p in zip(*out, strict=True)))
+            out.append((flat, f, c, e, np.full(n, k), low, high, total + np.cumsum(size) - size, np.zeros((n, REACH // 8), np.uint8)))
+            total += len(flat)
+        return Level(width, *(np.concatenate(p) for p in zip(*out, strict=True)))
 
     def bucket(key, table):
         family, chunks = Family(width), table["chunk"].to_pylist()
@@ -311,31 +351,30 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
             family.add(entries(part))
         rows = []
         for x in family.levels:
-            hit = x.found.any(axis=1)
-            ids, bits = x.ids[hit], np.packbits(x.found[hit], axis=1)
-            order = np.argsort(ids[:, 0], kind="stable")
-            ids, bits = ids[order], bits[order]
-            at = np.searchsorted(ids[:, 0], np.arange(len(chunks) + 1).astype(U))
-            rows += [(c, ids[a:b, 1].tobytes() + bits[a:b].tobytes()) for c, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a]
+            hit = np.flatnonzero(x.found.any(axis=1))
+            hit = hit[np.argsort(x.who[hit], kind="stable")]
+            c, e, bits = x.c[hit], x.d[hit], x.found[hit]
+            at = np.searchsorted(x.who[hit], np.arange(len(chunks) + 1))
+            rows += [(k, c[a:b].tobytes() + e[a:b].tobytes() + bits[a:b].tobytes()) for k, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a]
         return answers(rows)
 
     def finish(table, back):
         data, off = column_bytes(table["text"])
         bodies = [x.as_py() for x in back["body"]]
-        size = 8 + REACH // 8
-        known = np.concatenate([np.frombuffer(x, U, len(x) // size) for x in bodies]) if bodies else np.zeros(0, U)
-        bits = np.concatenate([np.frombuffer(x, np.uint8, offset=len(x) // size * 8).reshape(-1, REACH // 8) for x in bodies]) if bodies else np.zeros((0, REACH // 8), np.uint8)
-        order = np.argsort(known)
-        known, bits = known[order], bits[order]
-        got = [(a, x.a + a, x.lo + a, x.hi + a, x.classes(width)) for a, _, x in _segments_of(table, width)]
-        a, lo, hi, c = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (1, 2, 3, 4))
+        size = 16 + REACH // 8
+        known, second = (np.concatenate([np.frombuffer(x, U, len(x) // size, len(x) // size * 8 * i) for x in bodies]) if bodies else np.zeros(0, U) for i in range(2))
+        bits = np.concatenate([np.frombuffer(x, np.uint8, offset=len(x) // size * 16).reshape(-1, REACH // 8) for x in bodies]) if bodies else np.zeros((0, REACH // 8), np.uint8)
+        order = np.argsort(known, kind="stable")
+        known, second, bits = known[order], second[order], bits[order]
+        got = [(a, x.a + a, x.lo + a, x.hi + a, *x.contexts(width)) for a, _, x in _segments_of(table, width)]
+        a, lo, hi, c, e = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (1, 2, 3, 4, 5))
         depth = np.zeros(len(data) + width + 1, np.int32)
-        twice = _locally(c) if len(c) else np.zeros(0, bool)
+        twice = _locally(c, e) if len(c) else np.zeros(0, bool)
         np.add.at(depth, lo[twice], 1)
         np.subtract.at(depth, hi[twice] + width, 1)
         if len(known) and len(c):
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            hit = np.flatnonzero((known[at] == c) & ~twice)
+            at = place_of(c, e, known, second)
+            hit = np.flatnonzero((at >= 0) & ~twice)
             for k in range(0, len(hit), 50_000):
                 part = hit[k : k + 50_000]
                 row, o = np.nonzero(np.unpackbits(bits[at[part]], axis=1))
@@ -357,11 +396,12 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
                 "n_removed": pa.array(removed[off[1:]] - removed[off[:-1]], pa.int64()),
                 "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]], pa.int64()),
                 "kept": pa.array([text[x:y] for x, y in zip(left[:-1], left[1:], strict=True)], pa.binary()),
+                "times": table["times"],
             }
         )
 
     hits = d.groupBy("chunk").applyInArrow(probe, SENT).groupBy("bucket").applyInArrow(live, "chunk long, body binary")
     offered = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(offer, SENT)
     found = offered.groupBy("bucket").applyInArrow(bucket, "chunk long, body binary")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, out)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, times long"
+    return times(d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, out))

@@ -66,10 +66,47 @@ def test_suffixes(docs, chunk_bytes):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def brute_near(data, percent):
+    """Doc ids, set sizes, smallest id of the component by plain comparison of all rows."""
+    sets = []
+    for _, t in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(data)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                up[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(data):
+        low[root(i)] = min(low.get(root(i), ORDER(None)), ORDER(d))
+    return [(ORDER(d), len(sets[i]), low[root(i)], ORDER(d) == low[root(i)]) for i, (d, _) in enumerate(data)]
+
+
+def near_rows(df):
+    return sorted((ORDER(r.doc_id), r.n_shingles, ORDER(r.component_id), r.kept) for r in df.collect())
+
+
 def test_near_duplicates(docs):
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs, 85).collect()}
-    assert got[104].component_id == got[105].component_id == 103 and got[103].kept and not got[104].kept
-    assert got[100].n_shingles == got[102].n_shingles == 0 and got[100].kept and got[106].n_shingles == 1
+    got = minhash.near_duplicates(docs, 85)
+    assert near_rows(got) == sorted(brute_near(rows(docs), 85))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [list(rng.choice(words, 100)) for _ in range(30)]
+    data = [(None, " ".join(t)) for t in texts] + [(5, " ".join(texts[7][:-1])), (5, " ".join(texts[9][1:])), (5, " ".join(texts[12])), (6, " ".join(texts[7][1:]))]
+    data += [(2, "one two three"), (2, "One two three"), (None, ""), (None, None), (1, None), (1, None), (3, " ".join(texts[20])), (3, " ".join(texts[20])), (3, " ".join(texts[20][:-1]))]
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 85)
+    assert near_rows(got) == sorted(brute_near(data, 85))
+    # one pair of id and text leads each component
+    leads = Counter((r.group, r.doc_id, r.text_hash) for r in got.collect() if r.lead and r.group is not None)
+    assert len({g for g, _, _ in leads}) == len(leads) == len({r.group for r in got.collect() if r.group is not None})
 
 
 def test_vectors(spark):
@@ -147,3 +184,21 @@ def test_empty_tables(spark):
     for df in (substring.remove_repeats(none), suffixes.remove_repeats(none), minhash.near_duplicates(none), packing.pack(none), pii.replace_pii(none, "k"), decontaminate.decontaminate(none, item), sharding.shard_documents(none)):
         assert df.count() == 0
     assert hashlib.sha256(b"").hexdigest() == none.select(F.sha2(F.lit(""), 256)).union(spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256))).first()[0]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Very many equal rows, some with a null id, and a passage in most documents."""
+    text = " ".join(f"w{i * 7919 % 1000}" for i in range(80))
+    rows = [(7, text)] * 40 + [(None, text)] * 30 + [(8, f"x {text} y"), (9, "short"), (9, "short"), (3, None), (3, None)]
+    return spark.createDataFrame([(*r, "en", 1, 2) for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("chunk_bytes", [500, 1 << 20])
+def test_repeated_rows_of_substring_and_suffixes(repeated, chunk_bytes):
+    def counts(df):
+        return Counter((r.doc_id, r.n_removed) for r in df.collect())
+
+    assert counts(substring.remove_repeats(repeated, 50, chunk_bytes)) == Counter({(7, 0): 40, (None, 80): 30, (8, 80): 1, (9, 0): 2, (3, 0): 2})
+    n = len(" ".join(f"w{i * 7919 % 1000}" for i in range(80)))
+    assert counts(suffixes.remove_repeats(repeated, 200, chunk_bytes)) == Counter({(7, n): 40, (None, n): 30, (8, n): 1, (9, 0): 2, (3, 0): 2})
