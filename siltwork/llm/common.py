@@ -1,21 +1,21 @@
-"""What the operators share: the work folder, table access, saved tables and components."""
+"""What the operators share: table access, saved tables, joins with hot keys, and components."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
 import gc
 import sys
-import tempfile
-import threading
-import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.sources.store import discard, stored, tidied
+
+save = stored
+__all__ = ["NULL_ID", "bound_batches", "components", "discard", "hot_bound", "meet", "release_caches", "save", "table", "tidied", "tidy"]
+
 #: Stands for a null doc_id where ids are ordered: after every other id.
 NULL_ID = 2**63 - 1
 
@@ -24,77 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode, else an error,
-    since executors of a cluster would each write to their own disk."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="siltwork-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/siltwork/{uuid.uuid4().hex}"
-
-
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCAL = threading.local()
-
-
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run within go as soon as each ends."""
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEAN, before)
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}"
-    with shuffles_removed(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    for paths in getattr(_LOCAL, "saved", ()):
-        paths.append(path)
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)  # the folder of this table alone
-
-
-def discard(*saved: DataFrame) -> None:
-    """Delete saved tables once what was made from them is saved in turn. Nothing may read them afterwards."""
-    for df in saved:
-        _delete(df.sparkSession, df.saved_at)
-
-
-def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """``f`` with its result saved, and all that was saved on the way deleted, also where ``f`` fails."""
-
-    @functools.wraps(f)
-    def run(df: DataFrame, *args, **options) -> DataFrame:
-        spark, out = df.sparkSession, None
-        if not hasattr(_LOCAL, "saved"):
-            _LOCAL.saved = []
-        _LOCAL.saved.append([])
-        try:
-            out = save(f(df, *args, **options), f.__name__)
-        finally:
-            for path in _LOCAL.saved.pop():
-                if out is None or path != out.saved_at:
-                    _delete(spark, path)
-        return out
-
-    return run
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of texts and sketches are large: fewer travel to Python at once, unless the session sets how many."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -121,11 +50,6 @@ def tidy(cycles: bool = True) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """Bytes of all texts; sizes chunks and buckets."""
-    return docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-
-
 def meet(big: DataFrame, small: DataFrame, key: str | list[str], hot: int, how: str = "inner") -> DataFrame:
     """Equi join of ``big`` with ``small(key, n, ...)``, unique by ``key``; ``n``: rows of ``big`` with the key.
 
@@ -139,8 +63,8 @@ def meet(big: DataFrame, small: DataFrame, key: str | list[str], hot: int, how:
     return found.unionByName(rest)
 
 
-#: A key is hot with over this many rows, or a share of all rows such that at most 4096 keys are hot.
-HOT_ROWS, HOT_KEYS = 1000, 4096
+#: A key is hot with over this many rows, or more where over so many keys (a few MB) would be hot.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 
 def hot_bound(rows: int) -> int:

@@ -1,14 +1,17 @@
 """Main text of web pages by scoring the tree.
 
-Paragraphs give points for their length and commas to their ancestors, the parent in full, the grandparent
-half, others by a third of their distance; an element's points are discounted by its link density. The best
+Paragraphs give points for their length and commas to their ancestors, the parent in full, each further one
+half as much as the one before; an element's points are discounted by its link density. The best
 container and those of its siblings that score well or are prose are the article. Elements that are not content by
-kind, class or state never count.
+kind, class or state never count. A class is read word by word: ``has-sidebar`` or ``ad-free`` say nothing of the element, and an
+element that only its class speaks against stays where it holds the page's heading, article or most of its prose. Work grows with
+the length of the page, however deep its elements are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +30,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"} | {"summary"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-NOT_CONTENT = re.compile(
+# Words of classes and ids. Of elements that are not content; of those that may be, within an article, where they are text;
+# of reader comments; words that undo such a word; words that may follow one; and compounds.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social cookie cookies consent gdpr popup modal newsletter subscribe signup login outbrain taboola pager pagination toolbar".split())
+WEAK = frozenset("foot notice overlay search related recommend recommended recommendations widget widgets tags skip copyright legal disclaimer hidden".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+UNDO = frozenset("has no not with without free less is as enabled disabled".split())
+CARRIERS = frozenset("list item items link links box container wrapper wrap section area block slot bar panel inner content widget unit banner top bottom left right main primary secondary form overlay footer header row group col column holder buttons button text title thread".split())
+COMPOUNDS = frozenset("site-header page-header top-bar side-bar print-only skip-link".split())
+#: Elements of text: within an article only strong words speak against them, against headings none.
+TEXT = frozenset("p pre blockquote li dt dd td th tr table figure figcaption span a em strong b i u code q cite small abbr mark sub sup".split())
+CONTENT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|site-?header|page-?header|top-?bar|comments?|disqus|replies|respond|share|sharing|social|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|search|related|recommend\w*|outbrain|taboola|widget|pager|pagination|tags|toolbar|skip|copyright|legal|disclaimer|print-only|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
@@ -39,28 +52,77 @@ ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 
 
 class Node:
-    __slots__ = ("attrs", "children", "depth", "links", "name", "order", "parent", "points", "size", "skip")
+    __slots__ = ("attrs", "children", "commas", "depth", "inside", "links", "name", "parent", "points", "size", "skip", "why")
 
     def __init__(self, name: str, parent: Node | None, attrs: str = ""):
-        self.name, self.parent, self.children, self.points, self.size, self.links = name, parent, [], 0.0, 0, 0
+        self.name, self.parent, self.children, self.points, self.size, self.links, self.commas = name, parent, [], 0.0, 0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
+        self.inside = bool(parent and (parent.inside or parent.name in ("article", "main")))
         self.attrs = {m[0].lower(): unescape(m[1] or m[2] or m[3]) for m in ATTR.findall(attrs)} if attrs.strip() else {}
-        self.skip = bool(parent and parent.skip) or not_content(self)
+        self.why, self.skip = not_content(self), False
 
 
-def not_content(node: Node) -> bool:
+def boilerplate(name: str) -> str:
+    """What a word of a class or id says against its element: "strong", "weak", "comments", these with "?" in compounds, or nothing."""
+    words = [w for w in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    if not words or UNDO.intersection(words):
+        return ""
+    if "-".join(words) in COMPOUNDS:
+        return "strong?"
+    # of "main-nav" the last word counts, of "nav-list" the first
+    for w in (words[-1], *(words[:1] if words[-1] in CARRIERS else ())):
+        for kind, known in (("comments", COMMENTS), ("strong", STRONG), ("weak", WEAK)):
+            if w in known:
+                return kind + ("?" if len(words) > 1 and kind != "comments" else "")
+    return ""
+
+
+def not_content(node: Node) -> str:
+    """Why an element is not content: "kind" (for good), "form", or what :func:`boilerplate` says."""
     if node.name in SKIPPED:
         # an article may have a header of its own, with the heading
-        if node.name == "header" and any(a.name in ("article", "main") for a in ancestors(node)):
-            return False
-        return True
-    if not node.attrs or node.name in ("html", "body", "article", "main"):
-        return False
+        return "" if node.name == "header" and node.inside else "form" if node.name == "form" else "kind"
+    if not node.attrs or node.name in ("html", "body", "article", "main") and "hidden" not in node.attrs:
+        return ""
     a = node.attrs
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".strip()
-    return bool(names and NOT_CONTENT.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", names)))
+        return "kind"
+    if node.name in HEADINGS:
+        return ""
+    said = {boilerplate(x) for x in f"{a.get('class', '')} {a.get('id', '')}".split()} - {""}
+    if node.inside and node.name in TEXT:
+        said -= {"weak", "weak?"}
+    return next((x for x in ("comments", "strong", "weak", "strong?", "weak?") if x in said), "")
+
+
+def decide(root: Node) -> None:
+    """Set ``skip`` top down, once it is known what elements hold."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.children if isinstance(c, Node)]
+    prose, marks = {}, {}
+    for x in reversed(order):
+        n, seen = 0, {x.name} if x.name in ("h1", "article", "main") else set()
+        for c in x.children:
+            if isinstance(c, Node):
+                if c.why != "kind" and c.name != "a":
+                    n += prose[id(c)]
+                    seen |= marks[id(c)]
+            else:
+                n += len(c.strip())
+        prose[id(x)], marks[id(x)] = n, seen
+    for x in order:
+        if x.parent and x.parent.skip:
+            x.skip = True
+        elif x.why in ("", "kind"):
+            x.skip = bool(x.why)
+        else:
+            holds = marks[id(x)] - ({"article"} if x.why == "comments" else set())
+            share = prose[id(x)] / max(prose[id(root)], 1)
+            most = x.why in ("form", "strong?", "weak", "weak?") and share > 0.6
+            x.skip = not (holds and not x.inside and share > 0.4 or most)
 
 
 def ancestors(node: Node) -> Iterator[Node]:
@@ -72,6 +134,15 @@ def ancestors(node: Node) -> Iterator[Node]:
 def parse(html: str) -> Node:
     """A tree of nodes and strings; tolerant of tags that are not closed or cut off."""
     root = here = Node("#root", None)
+    opened: Counter[str] = Counter()
+
+    def up_to(node: Node) -> Node:
+        x = here
+        while x is not node:
+            opened[x.name] -= 1
+            x = x.parent
+        return node
+
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -94,29 +165,29 @@ def parse(html: str) -> Node:
             break  # cut off within a tag
         name = m["name"].lower()
         if m["end"]:
-            node = here
-            while node.parent and node.name != name:
+            node = here if opened[name] else None
+            while node and node.parent and node.name != name:
                 if node.name in ("td", "th", "table", "article", "section", "main", "body") and name not in BLOCKS:
                     node = None  # an inline end tag doesn't leave its block
                     break
                 node = node.parent
             if node is not None and node.parent:
-                here = node.parent
+                here = up_to(node.parent)
             elif name == "p":
                 here.children.append(Node("p", here))
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             node = here
             while node and node.name not in ("#root", "body", "div", "article", "section", "td", "th", "li", "table", "button"):
                 if node.name == "p":
-                    here = node.parent
+                    here = up_to(node.parent)
                     break
                 node = node.parent
-        if name in CLOSES:
+        if name in CLOSES and any(opened[x] for x in CLOSES[name]):
             node = here
             while node and node.parent and node.name not in SCOPES[name]:
                 if node.name in CLOSES[name]:
-                    here = node.parent
+                    here = up_to(node.parent)
                     break
                 node = node.parent
         node = Node(name, here, m["attrs"])
@@ -128,50 +199,40 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
             continue
         here = node
+        opened[name] += 1
     return root
 
 
 def measure(node: Node) -> None:
-    """Sizes of text and of link text, bottom up; points of paragraphs, to their ancestors. No recursion."""
+    """Sizes of text and of link text, commas, and points of paragraphs, all bottom up. No recursion."""
     order, stack = [], [node]
     while stack:
         x = stack.pop()
         order.append(x)
         stack += [c for c in x.children if isinstance(c, Node) and not c.skip]
+    passed: dict[int, float] = {}
     for x in reversed(order):
-        text = 0
+        own = own_commas = 0
         for c in x.children:
             if isinstance(c, str):
-                text += len(c.strip())
+                own += len(c.strip())
+                own_commas += c.count(",")
             elif not c.skip:
-                text += c.size
+                x.size += c.size
                 x.links += c.links
-        x.size = text
+                x.commas += c.commas
+                x.points += passed.pop(id(c), 0.0)
+        x.size += own
+        x.commas += own_commas
         if x.name == "a":
-            x.links = text
-    for x in order:
-        own = [c for c in x.children if isinstance(c, str)]
-        if x.name in PARAGRAPHS or (x.name in ("div", "section", "article", "main", "body", "b", "span", "font", "center") and sum(len(c.strip()) for c in own) >= 25):
-            if x.size < 25:
-                continue
-            commas = sum(c.count(",") for c in own) if x.name not in PARAGRAPHS else _commas(x)
-            points = 1 + commas + min(x.size // 100, 3)
-            level = 0
-            # a container that has the words itself keeps the points
-            for a in [*([x] if x.name not in PARAGRAPHS else []), *ancestors(x)]:
-                a.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                level += 1
-
-
-def _commas(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                n += c.count(",")
-            elif not c.skip:
-                stack.append(c)
-    return n
+            x.links = x.size
+        passed[id(x)] = x.points / 2
+        if x.size >= 25 and (x.name in PARAGRAPHS or own >= 25 and x.name in ("div", "section", "article", "main", "body", "b", "span", "font", "center")):
+            points = 1 + (x.commas if x.name in PARAGRAPHS else own_commas) + min(x.size // 100, 3)
+            passed[id(x)] += points
+            if x.name not in PARAGRAPHS:  # a container that has the words itself keeps the points
+                x.points += points
+                passed[id(x)] -= points / 2
 
 
 def density(node: Node) -> float:
@@ -198,6 +259,7 @@ def containers(root: Node) -> list[Node]:
 
 def chosen(root: Node) -> list[Node]:
     """The best container and its siblings that belong to it, in page order."""
+    decide(root)
     measure(root)
     found = containers(root)
     scored = [x for x in found if x.points > 0]
@@ -240,7 +302,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
     out, run = [], []
 
     def flush():
-        text = " ".join(unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
@@ -251,7 +313,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(unescape(x))  # a reference ends with its text
         elif not x.skip and x.name not in RAW:
             if x.name == "br":
                 run.append(" ")
@@ -271,7 +333,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with the main text of each whole page instead of its ``html``; no shuffle.
 
-    Other columns stay; a column named like ``text`` is replaced. Repeated rows are treated alike.
+    Other columns stay; a column named like ``text`` is replaced. Null, empty and blank pages have the empty text. Repeated rows
+    are treated alike; an empty table returns no rows.
     """
     kept = [c for c in pages.columns if c not in (html, text)]
     schema = pages.select(*kept, F.lit("").cast("string").alias(text)).schema

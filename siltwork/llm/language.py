@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import blocks, column_bytes
-from siltwork.llm.common import bound_batches, release_caches, tidy
+from siltwork.llm.common import bound_batches, release_caches, save, tidy
 
 # Families of languages by code; a language not listed is a family of its own.
 FAMILIES = {
@@ -151,14 +151,10 @@ class Model:
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
     """``per_language`` distinct texts of each language, or all where it has fewer: those with the smallest text hash: the same at every run."""
-    # copies are learned once, so the rate is of distinct texts
-    texts = labelled.select(lang, F.xxhash64(text).alias("__h")).distinct()
-    counts = texts.groupBy(lang).agg(F.count("*").alias("n")).collect()  # a row for each language label
-    # a rate that leaves a few times the bound, so that no task sorts a whole language
-    rate = F.lit(1.0)
-    for row in counts:
-        rate = F.when(F.col(lang) == row[lang], min(1.0, (3 * per_language + 200) / row["n"])).otherwise(rate)
-    x = labelled.withColumn("__h", F.xxhash64(text)).where(F.pmod("__h", F.lit(1 << 30)) / (1 << 30) < rate)
+    # copies are learned once, so the rate is of distinct texts; it leaves a few times the bound, so that no task sorts a whole language
+    texts = labelled.select(F.col(lang).alias("__lang"), F.xxhash64(text).alias("__h")).distinct()
+    rates = save(texts.groupBy("__lang").agg((F.lit(3.0 * per_language + 200) / F.count("*")).alias("__rate")), "rates")
+    x = labelled.withColumn("__h", F.xxhash64(text)).join(rates, F.col(lang) == F.col("__lang")).where(F.pmod("__h", F.lit(1 << 30)) / (1 << 30) < F.col("__rate"))
     x = x.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col("__h").alias("h"))
     # copies of one text have one hash: each text once
     x = x.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
@@ -166,20 +162,23 @@ def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> Data
     return r.where(F.col("r") <= per_language).select("lang", "text")
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, most: int = 6000) -> Model:
     """Learn from ``labelled`` rows with a language and a letter in the text.
 
-    ``per_language`` bounds the rows learned from; their features are computed on executors, and so at most
-    languages x per_language rows of fixed width reach the driver. No labelled row: the model knows no language.
+    ``per_language`` bounds the rows learned from, less where there are very many languages: ``most`` rows in all, but 10 of each. Their
+    features are computed on executors, and so a bounded number of rows of fixed width reaches the driver. No labelled row: the model
+    knows no language. Columns other than ``text`` and ``lang`` are ignored.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    per_language = max(10, min(per_language, most // max(1, rows.select("lang").distinct().count())))
 
     def run(batches):
         for b in batches:
             x = features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sample(rows, text, lang, per_language).mapInArrow(run, "lang string, x binary").toArrow()
+    got = sample(rows, "text", "lang", per_language).mapInArrow(run, "lang string, x binary").toArrow()
     y = got["lang"].to_pylist()
     x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got["x"]]) if len(y) else np.zeros((0, 2 * DIM), np.float32)
     order = sorted(range(len(y)), key=lambda i: (y[i], got["x"][i].as_py()))  # not the order of arrival
@@ -210,28 +209,31 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     """``docs`` with the predicted language and a score from 0 to 1; no shuffle.
 
     Null texts and texts without a letter are ``und`` with score 0; so are all where no language is known.
-    Other columns stay as they are; equal texts get equal results.
+    Other columns stay as they are, whatever their names; columns named like the two results are replaced. Equal texts get equal
+    results; an empty table returns no rows.
     """
     bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
     schema = docs.select(kept).withColumn(lang_pred, F.lit("").cast("string")).withColumn(score, F.lit(0.0)).schema
 
-    at = kept.index(text)  # a string column
-
     def run(batches):
         release_caches()
         m = known.value
         for b in batches:
             column = b.column(at)
             labels, scores = m.predict(column) if m.languages else ([UNDETERMINED] * b.num_rows, np.zeros(b.num_rows))
-            letters = b.column(b.schema.get_field_index("__letters")).to_pylist()
+            letters = b.column(len(kept)).to_pylist()
             labels = [x if ok else UNDETERMINED for x, ok in zip(labels, letters, strict=True)]
             scores = np.where(np.array(letters, bool), scores, 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang_pred, score])
         tidy()
 
-    d = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    t = F.col(text).cast("string")
+    # a string column travels once
+    extra = [] if docs.schema[text].dataType.simpleString() == "string" and text in kept else [t.alias("__text")]
+    at = len(kept) + 1 if extra else kept.index(text)
+    d = docs.select(*kept, F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("__letters"), *extra)
     return d.mapInArrow(run, schema)
 
 

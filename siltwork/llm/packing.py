@@ -132,8 +132,8 @@ class WordCache:
         self.add([w for w, _, _ in split], ids, ends[1::2])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        # ASCII is lowered here already, unless a combining mark could compose differently then
-        words = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        # ASCII is lowered here already, unless a combining mark could compose differently or a special token arise then
+        words = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
         flat = list(chain.from_iterable(words))
         k = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(k < 0).tolist()
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
 
 
 def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -> DataFrame:
-    """``parts`` (with ``length``, and ``doc_id`` and ``piece`` as order) with ``sequence_id`` and ``offset``.
+    """``parts`` (with ``length``, and ``doc_id``, ``piece`` and ``row``, a number of its own, as order) with ``sequence_id`` and ``offset``.
 
     Pieces of one length are numbered in cells, so that a very common length is not sorted in one task. The
     places of a length are ranges of these numbers: at most a few thousand rows, bounded by ``capacity``.
@@ -206,11 +206,11 @@ def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -
     spark = parts.sparkSession
     found = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     cells = max(1, sum(found.values()) // rows_per_cell)
-    parts = parts.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)).cast("int"))
+    parts = parts.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(cells)).cast("int"))
     counts = parts.groupBy("length", "__cell").agg(F.count("*").alias("__n"))
     w = Window.partitionBy("length").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "__cell", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
-    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__cell").orderBy("doc_id", "piece")))
+    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__cell").orderBy("doc_id", "piece", "row")))
     ranked = ranked.join(starts, ["length", "__cell"]).withColumn("__rank", F.col("__start") + F.col("__r") - 1)
     rows, next_rank, sequence = [], {}, 0
     for chosen, times in minimum_slack(found, capacity):
@@ -222,7 +222,8 @@ def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -
             offset += x
         sequence += times
     places = spark.createDataFrame(rows, "length long, __from long, __to long, __sequence long, offset long")
-    # a few ranges of a length at a time stand for one rank: the hash join is on the length, bounded by `capacity`
+    # a bin ends at least one length, so there are at most `capacity` bins of at most `capacity` pieces each, and in practice
+    # a few ranges for each length; each is a row of 40 bytes
     out = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))).drop(places["length"])
     return out.withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__from")).drop("__cell", "__start", "__r", "__rank", "__from", "__to", "__sequence")
 
@@ -232,5 +233,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) ->
 
     Empty table: no rows. Null and empty texts: a piece of the end id alone. Repeated rows are packed each.
     """
-    parts = save(pieces(docs, tokenizer, capacity), "pieces")
+    # rows are numbered once, so that repeated ones spread over cells too
+    parts = save(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return place(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

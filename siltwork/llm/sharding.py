@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltwork.llm.common import save
+
 #: Hex digits of an md5 that become the uniform draw; 13 digits fit a double exactly.
 _DIGITS = 13
 
@@ -40,10 +42,18 @@ def slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", r
 
     Numbers are dealt in cells (a hash of ``order``): each cell is sorted on its own and starts where the
     cells before it end, so no task holds a whole shard however few shards there are. Rows equal in all of
-    ``order`` get neighbouring numbers in any order.
+    ``order`` get neighbouring numbers in any order; over ``rows_per_cell`` of them are spread over all cells.
     """
     cells = max(1, df.count() // rows_per_cell)
-    df = df.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    key = F.xxhash64(*order)
+    if cells > 1:
+        # at most as many as there are cells
+        often = [r[0] for r in df.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_cell).collect()]
+        if often:
+            # written once, so that a row keeps its cell
+            df = save(df.withColumn("__spread", F.when(key.isin(often), F.monotonically_increasing_id()).otherwise(0)), "spread")
+            key = F.xxhash64(*order, "__spread")
+    df = df.withColumn("__cell", F.pmod(key, F.lit(cells)).cast("int")).drop("__spread")
     counts = df.groupBy(shard, "__cell").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(shard).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(shard, "__cell", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
@@ -56,7 +66,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """Shard, slot, and the shard with one shard more, for every document, by ``key`` (the doc_id).
 
     Null text: size 8, crc of the empty string. Null doc_id: the empty key. Repeated rows share a shard and
-    get slots of their own. Other columns are dropped here; :func:`assign` keeps them.
+    get slots of their own; an empty table returns no rows. Other columns are dropped here; :func:`assign` keeps them.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).cast("long").alias("text_crc32"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import components, discard, save
+from siltwork.llm.common import components, discard, hot_bound, meet, save, tidied
 
 BITS = 63
 #: Vectors of a block compared at once.
@@ -39,8 +39,10 @@ def plan(n: int, least: float, reach: int, recall: float) -> tuple[int, int]:
 
 def _matrix(column) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 1))
+    if not len(a):
+        return np.zeros((0, 1))
+    v = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
+    return v / np.abs(v).max(axis=1)[:, None]  # the largest is 1, so that squares neither overflow nor vanish
 
 
 def _keys(vectors: DataFrame, passes: int, seed: int, first: int = 0) -> DataFrame:
@@ -152,23 +154,27 @@ def _pass_links(keys: DataFrame, vectors: DataFrame, shift: int, depth: int, lea
     return _go_on(found, places, vectors, least, window, reach)
 
 
+@tidied
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int | None = None, window: int = 48, reach: int = 2048, seed: int = 7, recall: float = 0.999) -> DataFrame:
     """Per vector: ``vec_id, n_links, component_id, kept``.
 
-    A link has a cosine of ``least`` or more in double precision. Null, empty and zero vectors and vectors with null or non-finite
-    components link with nothing, as do vectors of different lengths. Unless ``passes`` is given, their number follows the
-    number of vectors, so that each link is found with a chance of ``recall`` at least; all are found among up to ``reach``
-    vectors. A class of equal vectors counts each of its members. An empty
-    table returns no rows; rows with a repeated id each return a row; other columns are ignored.
+    A link has a cosine of ``least`` or more in double precision; finite vectors of any length have one. Null, empty and zero
+    vectors and vectors with null or non-finite components link with nothing, as do vectors of different dimensions. Unless
+    ``passes`` is given, their number follows the number of vectors, so that each link is found with a chance of ``recall`` at
+    least; all are found among up to ``reach`` vectors. Equal vectors (by 128 bits of hash) are a class of their own, whatever
+    their ids, and a class counts each of its members. An empty
+    table returns no rows; rows with a repeated id are vectors of their own; other columns are ignored. A null id comes after all
+    others and is never kept.
     """
     d = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     fine = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    d = d.withColumn("fine", fine & ~F.coalesce(F.exists("vector", F.isnan), F.lit(False)) & F.col("id").isNotNull())
-    keys = save(d.select("id", "fine", F.when(F.col("fine"), F.xxhash64("vector")).alias("h1"), F.when(F.col("fine"), F.hash("vector")).alias("h2")), "ids")
-    good = d.where("fine")
-    classes = good.groupBy(F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.any_value("vector").alias("vector"))
-    classes = save(classes, "classes")
-    vectors = classes.select(F.col("rep").alias("id"), F.size("vector").alias("dim"), "vector")
+    d = d.withColumn("fine", fine & ~F.coalesce(F.exists("vector", F.isnan), F.lit(False)))
+    h1, h2 = F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")
+    keys = save(d.select("id", F.when(F.col("fine"), h1).alias("h1"), F.when(F.col("fine"), h2).alias("h2")), "ids")
+    classes = d.where("fine").groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.any_value("vector").alias("vector"))
+    # numbers are written once, so that they stay
+    classes = save(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    vectors = classes.select(F.col("class").alias("id"), F.size("vector").alias("dim"), "vector")
     n = vectors.count()
     shift = BITS - max(4, min(20, int(n // 4096).bit_length() + 4))
     depth, enough = plan(n, least, reach, recall)
@@ -181,12 +187,16 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         parts.append(_pass_links(k, vectors, shift, depth, least, window, reach))
         discard(k)
     links = parts[0] if rounds == 1 else save(reduce(DataFrame.unionByName, parts).distinct(), "links")
+    bound = hot_bound(2 * links.count())
     labels = save(components(links), "labels")
-    members = classes.select(F.col("rep").alias("id"), "members")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    near = ends.join(members.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("members").alias("near"))
-    named = classes.select("h1", "h2", F.col("rep").alias("id"), "members").join(near, "id", "left").join(labels, "id", "left")
-    named = named.select("h1", "h2", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = keys.join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    other = ends.groupBy("other").agg(F.count("*").alias("n")).join(classes.select(F.col("class").alias("other"), "members"), "other")
+    near = meet(ends, save(other, "members"), "other", bound).groupBy("id").agg(F.sum("members").alias("near"))
+    named = classes.select("h1", "h2", F.col("class").alias("id"), "members", "rep").join(near, "id", "left").join(labels, "id", "left")
+    named = save(named.withColumn("component", F.coalesce("component", "id")), "named")
+    leads = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = meet(named, leads, "component", hot_bound(n))
+    named = named.select("h1", "h2", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "component_id", F.col("members").alias("n"))
+    out = meet(keys, save(named, "counts"), ["h1", "h2"], hot_bound(keys.count()), "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -121,13 +122,41 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 904)) and got[45].component_id == 5
 
 
+def brute_hits(data, items, width=13):
+    """Per row: words, hit words, item ids, by looking for every window at every place."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        for k in range(max(len(w) - width + 1, 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    out = []
+    for d, t in data:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                got = windows.get(tuple(w[k : k + n]))
+                if got:
+                    hit |= set(range(k, k + n))
+                    found |= got
+        out.append((ORDER(d), len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
 @pytest.mark.parametrize("inline", [50_000, 0])
 def test_decontamination(spark, docs, inline):
     w = (docs.where("doc_id = 103").first().text or "").split()
-    items = spark.createDataFrame([(1, re.sub("[a-z]", lambda m: m[0].upper(), " ".join(w[5:40]))), (2, "zz yy"), (3, None), (4, " ".join(w[100:108]))], "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, items, inline_tokens=inline).collect()}
-    assert got[103].items == ["1", "4"] and got[103].n_hit == 43 and not got[103].contaminated and got[100].n_words == 0
-    assert docs.count() == decontaminate.decontaminate(docs, items, inline_tokens=inline).count()
+    items = [(1, re.sub("[a-z]", lambda m: m[0].upper(), " ".join(w[5:40]))), (2, "zz yy"), (3, None), (4, " ".join(w[100:108])), (5, "a"), (6, "A a a"), (7, " ".join(w[20:60])), (8, ""), (9, "a " * 20), (10, " ".join(w[5:40]))]
+    table = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, window int")
+    got = decontaminate.decontaminate(docs, table, inline_tokens=inline)
+    assert sorted((ORDER(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()) == brute_hits(rows(docs), items)
+
+
+def test_decontamination_of_a_long_text(spark):
+    text = " ".join(f"w{i % 977}" for i in range(150_000))
+    items = [(1, " ".join(f"w{i}" for i in range(30))), (2, "w5")]
+    got = decontaminate.decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(ORDER(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in got] == brute_hits([(1, text)], items)
 
 
 def test_pii(spark):
@@ -138,18 +167,89 @@ def test_pii(spark):
     assert "10.1.2.3" not in out[2] and re.search(r"\b4\d{15}$", out[2]) and out[3:] == texts[3:]
 
 
+def test_pii_names_agree_and_stay_distinct(spark):
+    """Each surname has one surrogate wherever it stands, and no two share one; likewise given names."""
+    men, names = ("Hans", "Peter", "Karl", "Luc"), [f"{a}{b}" for a in ("Berg", "Wald", "Stein", "Feld", "Moor") for b in ("er", "mann", "ow", "holz", "see")]
+    texts = [f"{g} {n} came in and Herr {n} left, {g.upper()} {n.upper()} said Frau Dr. {n}" for g in men for n in names]
+    df = spark.createDataFrame([(i, t, ["x"], 1) for i, t in enumerate(texts)], "doc_id int, text string, pii_types array<string>, of int")
+    out = pii.replace_pii(df, "k").orderBy("doc_id").collect()
+    given, surname = {}, {}
+    for i, r in enumerate(out):
+        w = r.text.replace(",", "").split()
+        g, n = men[i // len(names)], names[i % len(names)]
+        assert w[1] == w[6] and w[2:6] == ["came", "in", "and", "Herr"] and g not in r.text and n not in r.text
+        assert given.setdefault(g, w[0]) == w[0] and surname.setdefault(n, w[1]) == w[1]
+        assert r.of == 1 and r.pii_types[0] == "name"
+    assert len(set(given.values())) == len(men) and len(set(surname.values())) == len(names)
+    assert not set(surname.values()) & set(names)
+
+
+def test_pii_of_very_long_texts(spark):
+    texts = ["1 " + "a." * 500_000, "1@" + "a." * 500_000, "x@" + "a-" * 300_000 + ".com", "key=" + "a" * 500_000, "Herr " + "Ab'" * 300_000, "4" * 400_000, "DE12" + " ABCD" * 100_000, "+1" + " 12" * 300_000, "(" * 400_000, "x " * 400_000 + "bob@example.com", "eyJ" + "a." * 300_000]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    assert out[0] == texts[0] and out[8] == texts[8] and "bob@example" not in out[9] and len(out) == len(texts)
+
+
+def brute_shard(key, weights):
+    """The shard whose -weight / ln(u) is greatest, u by the md5 of key and shard."""
+    def score(i):
+        u = (int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 1) / (16**13 + 1)
+        return -weights[i] / math.log(u)
+
+    return max(range(len(weights)), key=lambda i: (score(i), -i))
+
+
 def test_sharding(docs):
     got = sharding.shard_documents(docs, 24).collect()
-    assert all(r.grown_shard in (r.shard, 24) for r in got) and len(got) == docs.count()
+    assert len(got) == docs.count()
+    for r in got:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (brute_shard(key, [1.0] * 24), brute_shard(key, [1.0] * 25)) and r.grown_shard in (r.shard, 24)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert {r.doc_id: r.text_crc32 for r in got}[101] == zlib.crc32(b"")
+    texts = {d: t for d, t in rows(docs)}
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 8, zlib.crc32(texts[r.doc_id].encode())) for r in got if r.doc_id)
+
+
+def test_sharding_by_weight(spark):
+    weights = [1.0, 2.0, 0.5, 4.0]
+    df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(9).alias("shard"), "id")
+    got = sharding.assign(df, "key", weights, "to").collect()
+    assert all(r.to == brute_shard(r.key, weights) and r.shard == 9 for r in got)
+    share = Counter(r.to for r in got)
+    assert all(abs(share[i] / 3000 - w / 7.5) < 0.03 for i, w in enumerate(weights))
+    # one shard more takes keys only into itself
+    more = {r.key: r.to for r in sharding.assign(df, "key", [*weights, 1.0], "to").collect()}
+    assert all(more[r.key] in (r.to, 4) for r in got)
+
+
+def test_slots_of_very_many_equal_rows(spark):
+    df = spark.range(900).select(F.lit(1).alias("shard"), F.when(F.col("id") < 700, 5).otherwise(F.col("id")).alias("k"))
+    got = sharding.slots(df, "shard", ["k"], rows_per_cell=100).collect()
+    assert sorted(r.slot for r in got) == list(range(900)) and got[0].asDict().keys() == {"shard", "k", "slot"}
+
+
+def brute_pieces(data):
+    """Pieces by the tokenizer itself, a text at a time."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for d, t in data:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        out += [(ORDER(d), p // 2048, p, len(ids[p : p + 2048]), zlib.crc32(np.array(ids[p : p + 2048], "<u4").tobytes())) for p in range(0, len(ids), 2048)]
+    return sorted(out)
 
 
-def test_packing(docs):
-    got = packing.pack(docs).collect()
+ODD = ["<|ENDOFTEXT|> x", "a <|endoftext|>b <|StartOfText|>", "<|startoftext|>Hi THERE", "it's don't WE'LL", "e\u0301 \u0130stanbul \u1e9e \ufb01", "a\u0300B\u0308 <| X |> <|", "x" * 3000, "\u00a0A\u2003B\u200bC", "1,234.5%...!!??", "\u4f60\u597d\uff21 \U0001f600\U0001f468\u200d\U0001f469", "\x00A\x1fB", "tail. \r\n\tEND.", "..a.B..", "Ann.Lee@x.COM"]
+
+
+def test_packing(spark, docs):
+    data = rows(docs) + [(1000 + i, t) for i, t in enumerate(ODD)] + [(2000, "Word, " * 5000), (2001, "")]
+    got = packing.pack(spark.createDataFrame([(*r, 1, 2) for r in data], "doc_id long, text string, row int, length int")).collect()
+    assert sorted((ORDER(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == brute_pieces(data)
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -160,22 +260,91 @@ def test_packing(docs):
             at += n
         assert at <= 2048
     total = sum(r.length for r in got)
-    assert len(by) <= -(-total // 2048) + 1 and {r.doc_id for r in got} == {r.doc_id for r in docs.collect()}
+    assert len(by) <= -(-total // 2048) + 1
     assert packing.fullest({5: 3, 7: 1}, 16) in ([5, 5, 5], [7, 5], [5, 7]) and sum(packing.fullest({5: 3, 7: 1}, 17)) == 17
 
 
+def test_places_of_very_many_equal_rows(spark):
+    parts = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit(0).alias("piece"), F.col("id").alias("row"), F.lit(700).cast("long").alias("length"))
+    got = packing.place(parts, rows_per_cell=50).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 500 and {r.offset for r in got} == {0, 700} and len({r.sequence_id for r in got}) == 250
+
+
+PROSE = "One, two, three words of a paragraph that is long enough. "
+
+
 def test_html():
     page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class=content><h1>T &amp; U</h1><p>One, two,  three words of a paragraph.<p>Second one, long enough.</div><div id=comments><p>A comment, a long one, really.</p></div></body></html>"
     assert html.main_text(page) == "T & U\nOne, two, three words of a paragraph.\nSecond one, long enough." and html.main_text(None) == html.main_text(" <p") == ""
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "ad-free", "no-menu", "widget-free", "content sidebar-right", "menu-left", "hidden-menu-layout"])
+def test_html_classes_of_layout_empty_no_page(name):
+    want = f"Head\n{PROSE.strip()}\n{(PROSE * 3).strip()}"
+    assert html.main_text(f"<body><div class='{name}'><h1>Head</h1><p>{PROSE}</p><p>{PROSE * 3}</p></div></body>") == want
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar", "main-nav", "navList", "comment-list", "cookie-notice", "related", "site-header", "ad-300x250", "social share"])
+def test_html_leaves_boilerplate_out(name):
+    article = f"<div class=story><h1>Head</h1><p>{PROSE * 3}</p><p>{PROSE * 2}</p></div>"
+    other = f"<div class='{name}'><p>Buy this now, please, or read on, it is cheap.</p></div>"
+    want = f"Head\n{(PROSE * 3).strip()}\n{(PROSE * 2).strip()}"
+    assert html.main_text(f"<body>{article}{other}</body>") == html.main_text(f"<body><article>{article}{other}</article></body>") == want
+
+
+def test_html_text_within_an_article_stays():
+    page = f"<article><h2 id=search>Head</h2><p class=legal>{PROSE}</p><p class=ad>Buy, buy, buy this now, please.</p><p>a &am<b>p; b</b> AT&amp;T &#x41;</p><p>{PROSE * 3}</p></article>"
+    assert html.main_text(page) == f"Head\n{PROSE.strip()}\na &amp; b AT&T A\n{(PROSE * 3).strip()}".replace("&amp;", "&amp;")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + f"<p>{PROSE * 3}</p>" + "</span>" * 50_000, "<ul><p>x</p>" * 50_000, "<div><p>" * 50_000, "<td>" * 50_000, "<" * 300_000, "a < b, " * 50_000, "<p " + "a='" * 100_000])
+def test_html_of_very_long_pages(page):
+    html.main_text(page)
+
+
+def test_html_of_a_table(spark):
+    page = f"<body><p>{PROSE * 4}</p></body>"
+    rows = [(1, "u", page, "x", 3), (1, "u", page, "x", 3), (2, None, None, None, None), (3, "v", "", "y", 1), (None, "w", " <p", "z", 2), (4, "long", f"<p>{PROSE * 20_000}", "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, skip int")
+    got = sorted(((r.page_id or 0, r.url or "", r.text, r.skip) for r in html.extract(df).collect()), key=str)
+    want = [(p or 0, u or "", {page: (PROSE * 4).strip(), f"<p>{PROSE * 20_000}": (PROSE * 20_000).strip()}.get(h, ""), s) for p, u, h, _, s in rows]
+    assert got == sorted(want, key=str)
+    assert html.extract(df.limit(0)).count() == 0
+
+
+LANGUAGES = [("the cat and the dog are here", "en"), ("der hund und die katze sind hier", "de"), ("le chat et le chien sont ici", "fr"), ("el gato y el perro están aquí", "es")]
+
+
 def test_language(spark, docs):
-    train = spark.createDataFrame([("the cat and the dog are here", "en"), ("der hund und die katze sind hier", "de"), ("le chat et le chien sont ici", "fr"), ("el gato y el perro están aquí", "es")] * 3, "text string, lang string")
+    train = spark.createDataFrame(LANGUAGES * 3 + [(None, "en"), ("", "de"), ("12", "fr"), ("a text", None)], "text string, lang string")
     model = language.train(train)
-    got = {r.text: r.lang_pred for r in language.identify(train.select("text").union(spark.createDataFrame([(None,), ("12 %",)], "text string")), model).collect()}
-    assert got["der hund und die katze sind hier"] == "de" and got[None] == got["12 %"] == "und"
+    assert model.languages == ["de", "en", "es", "fr"] and sorted(model.families) == ["germanic", "romance"]
+    ask = [(x, "no", 1) for x, _ in LANGUAGES] * 2 + [(None, "x", 2), ("12 %", "y", 3), ("", None, 4), ("der hund " * 100_000, "z", 5)]
+    got = language.identify(spark.createDataFrame(ask, "text string, lang_pred string, n int"), model).collect()
+    of = {r.text: r.lang_pred for r in got}
+    assert len(got) == len(ask) and all(of[t] == x for t, x in LANGUAGES) and of[None] == of["12 %"] == of[""] == "und" and of["der hund " * 100_000] == "de"
+    assert all((0 <= r.lang_score <= 1) and (r.lang_pred != "und" or r.lang_score == 0) for r in got)
     out = language.identify(docs, model)
-    assert out.columns[:5] == docs.columns and out.count() == docs.count()
+    assert out.columns[:5] == docs.columns and out.count() == docs.count() and language.identify(docs.limit(0), model).count() == 0
+    none = language.train(train.where("false"))
+    assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
+
+
+def test_language_with_many_labels(spark):
+    """The rows learned from are bounded in all; ties between equal texts of two languages are settled alike at each run."""
+    rows = [(f"{'abcdefghij'[i % 10] * 5} {i % 7}", f"l{i % 40}") for i in range(4000)] + [("same text", "l1"), ("same text", "l2")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    a, b = language.train(df, most=80), language.train(df.orderBy(F.desc("text")), most=80)
+    assert len(a.languages) == 40 and np.array_equal(a.weights, b.weights)
+
+
+def test_language_held_out(spark):
+    """Accuracy on documents not learned from."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(d.where(~language.held_out()))
+    got = language.identify(d.where(language.held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}{3}")), model)
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 150 and right > 0.97
 
 
 def test_empty_tables(spark):
