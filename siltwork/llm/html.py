@@ -64,7 +64,7 @@ class Node:
 
 def boilerplate(name: str) -> str:
     """What a word of a class or id says against its element: "strong", "weak", "comments", these with "?" in compounds, or nothing."""
-    words = [w for w in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    words = [w for w in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1]
     if not words or UNDO.intersection(words):
         return ""
     if "-".join(words) in COMPOUNDS:
