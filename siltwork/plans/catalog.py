@@ -12,10 +12,11 @@ from siltwork.functions import text as T
 from siltwork.operators import evaluate as E
 from siltwork.operators import reduce as R
 from siltwork.sources import logs, prompts, sinks
-from siltwork.sources.store import folder, stored
+from siltwork.sources.store import folder, stored, tidied
 from siltwork.streaming import templates as streams
 
 RAW = ReduceConfig(redact=False, budget=2000)
+MAX_LINES, SYNTHETIC = 35, 1_000_000
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark, sf_dir):
-    return R.templated(R.fields(R.records(_lines(spark, sf_dir))), RAW)
+    return R.templated(R.fields(R.records(_lines(spark, sf_dir))).drop("message"), RAW)
 
 
 def _docs(spark, sf_dir):
@@ -67,19 +68,66 @@ def redact_patterns(spark, sf_dir):
     return d.select("doc_id", F.md5(T.redact_patterns(F.col("text"))).alias("redacted_md5"))
 
 
+def _kept(r: R.Reduced) -> DataFrame:
+    return r.records.select("log_id", "idx", "template").join(r.kept, ["log_id", "idx"])
+
+
+@tidied
 def selected(spark, sf_dir):
-    r = R.reduce_logs(_lines(spark, sf_dir), RAW)
-    return r.selected.where("kept").select("log_id", "idx", "template", "as_context")
+    return _kept(R.reduce_logs(_lines(spark, sf_dir), RAW))
+
+
+@tidied
+def selected_max_lines(spark, sf_dir):
+    """The selection under a cap on lines."""
+    return _kept(R.reduce_logs(_lines(spark, sf_dir), ReduceConfig(redact=False, budget=2000, max_lines=MAX_LINES)))
 
 
+@tidied
 def render_rows(spark, sf_dir):
     return R.reduce_logs(_lines(spark, sf_dir), RAW).rows
 
 
+@tidied
 def reduce_output(spark, sf_dir):
     return R.reduce_logs(_lines(spark, sf_dir), ReduceConfig(budget=2000)).output()
 
 
+@tidied
+def reduce_json(spark, sf_dir):
+    """Reductions of JSON logs, whose headers have the range of time."""
+    return R.reduce_logs(logs.events_as(spark, sf_dir, "json"), ReduceConfig(budget=2000, redact=False)).output()
+
+
+@tidied
+def reduce_blank(spark, sf_dir):
+    """Logs of blank lines only, a day each, get a header and no body."""
+    blank = logs.events_plain(spark, sf_dir).select("log_id", "pos", F.when(F.col("pos") % 2 == 0, " \t").otherwise("").alias("line"))
+    return R.reduce_logs(blank).output()
+
+
+def redact_shapes(spark, sf_dir):
+    """A text of each kind of secret."""
+    return logs.shapes(spark, sf_dir, logs.SECRETS).select("event_id", T.redact_patterns(F.col("line")).alias("redacted"))
+
+
+def redact_tokens(spark, sf_dir):
+    """Tokens of high and low entropy."""
+    return logs.shapes(spark, sf_dir, logs.TOKENS).select("event_id", T.redact_entropy(F.col("line")).alias("redacted"))
+
+
+def mask_shapes(spark, sf_dir):
+    """A text for each mask."""
+    return logs.shapes(spark, sf_dir, logs.SHAPES).select("event_id", T.mask(F.col("line")).alias("template"))
+
+
+@tidied
+def record_shapes(spark, sf_dir):
+    """Records with continuations in all formats, with severity, time and message."""
+    d = R.fields(R.records(logs.events_framed(spark, sf_dir)))
+    return d.select("log_id", "idx", "format", F.md5("raw").alias("raw_md5"), F.col("sev").cast("int").alias("sev"), "ts", "message")
+
+
 def _fields_of(kind):
     def query(spark, sf_dir):
         d = R.fields(R.records(logs.events_as(spark, sf_dir, kind)))
@@ -110,19 +158,31 @@ def entropy_tokens(spark, sf_dir):
     return d.select("doc_id", "token", F.round(T.entropy(F.col("token")), 6).alias("bits"))
 
 
+@tidied
 def synth_log(spark, sf_dir):
-    return R.templates(R.templated(R.fields(R.records(logs.synthetic(spark, 20_000))), RAW)).select("template", "cnt", "first_idx")
+    """One log of a million lines, from lines to its reduction."""
+    return R.reduce_logs(logs.synthetic(spark, SYNTHETIC), RAW).output()
 
 
-def _outputs(spark, sf_dir):
-    """Lines of the events' logs, their outputs, and errors of each log as signals."""
-    lines = stored(_lines(spark, sf_dir).select("log_id", (F.row_number().over(Window.partitionBy("log_id").orderBy("pos")) - 1).cast("long").alias("pos"), "line"), "lines")
-    out = stored(sinks.texts(R.reduce_logs(lines, RAW).output()), "texts")
+@tidied
+def synth_templates(spark, sf_dir):
+    return R.templates(R.templated(R.fields(R.records(logs.synthetic(spark, SYNTHETIC))).drop("message"), RAW)).select("template", "cnt", "first_idx")
+
+
+def _numbered(spark, sf_dir):
+    return _lines(spark, sf_dir).select("log_id", (F.row_number().over(Window.partitionBy("log_id").orderBy("pos")) - 1).cast("long").alias("pos"), "line")
+
+
+def _signals(lines):
+    """Errors of each log, with their frames as evidence."""
     at = (F.col("pos") + 1).cast("int")
-    span = F.array(F.array(at, at + 2))
     kind = F.when(F.col("pos") % 3 == 0, "critical").otherwise("important")
-    signals = lines.where(F.col("line").contains(" ERROR ") & (F.col("pos") % 11 == 0)).select("log_id", F.col("pos").alias("signal"), kind.alias("importance"), span.alias("evidence_lines"))
-    return lines, out, signals
+    return lines.where(F.col("line").contains(" ERROR ")).select("log_id", F.col("pos").alias("signal"), kind.alias("importance"), F.array(F.array(at, at + 2)).alias("evidence_lines"))
+
+
+def _outputs(spark, sf_dir):
+    lines = stored(_numbered(spark, sf_dir), "lines")
+    return lines, stored(sinks.texts(R.reduce_logs(lines, RAW).output()), "texts")
 
 
 def fingerprints(spark, sf_dir):
@@ -130,24 +190,33 @@ def fingerprints(spark, sf_dir):
 
 
 def evidence_keys(spark, sf_dir):
-    lines, _, signals = _outputs(spark, sf_dir)
-    return E.evidence(lines, signals)
+    lines = _numbered(spark, sf_dir)
+    return E.evidence(lines, _signals(lines))
 
 
+@tidied
 def signal_recall(spark, sf_dir):
-    lines, out, signals = _outputs(spark, sf_dir)
-    return E.case_report(lines, out, signals)
+    lines, out = _outputs(spark, sf_dir)
+    return E.case_report(lines, out, _signals(lines))
 
 
+@tidied
 def recall_overall(spark, sf_dir):
-    return E.overall(signal_recall(spark, sf_dir))
+    lines, out = _outputs(spark, sf_dir)
+    return E.overall(E.case_report(lines, out, _signals(lines)))
 
 
+@tidied
 def reduction_manifest(spark, sf_dir):
-    lines, out, _ = _outputs(spark, sf_dir)
+    lines, out = _outputs(spark, sf_dir)
     path = lambda ext: F.concat("log_id", F.lit(ext))
     m = E.manifest(lines, out, "siltwork-2k", 2000, path("/raw.log"), path(".txt"))
-    return m.select("case_id", "method", "input_line_count", "input_byte_size", F.col("metadata.budget_tokens").alias("budget_tokens"))
+    return m.select(*[c for c in m.columns if c not in ("metadata", "included_line_ranges")], F.size("included_line_ranges").alias("ranges"), "metadata.budget_tokens", "metadata.binary")
+
+
+@tidied
+def reduction_sizes(spark, sf_dir):
+    return E.sizes(*_outputs(spark, sf_dir))
 
 
 def tail_truncate(spark, sf_dir):
@@ -178,9 +247,10 @@ def stream_templates(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_lines, format_scores, format_detect, record_assembly, level_infer, mask_templates, template_stats, severity_counts, redact_patterns, selected, render_rows, reduce_output,
-        *map(_fields_of, ("json", "logfmt", "klog", "syslog")), template_topk, document_frequency, blended_scores, entropy_tokens, synth_log,
-        fingerprints, evidence_keys, signal_recall, recall_overall, reduction_manifest, tail_truncate, prompt_paths, stream_templates,
+        doc_lines, format_scores, format_detect, record_assembly, level_infer, mask_templates, template_stats, severity_counts, redact_patterns, redact_shapes, redact_tokens, mask_shapes, record_shapes,
+        selected, selected_max_lines, render_rows, reduce_output, reduce_json, reduce_blank,
+        *map(_fields_of, ("json", "logfmt", "klog", "syslog")), template_topk, document_frequency, blended_scores, entropy_tokens, synth_log, synth_templates,
+        fingerprints, evidence_keys, signal_recall, recall_overall, reduction_manifest, reduction_sizes, tail_truncate, prompt_paths, stream_templates,
     )
 }
 
@@ -239,25 +309,25 @@ for _kind, (_level, _ts) in _FIELDS.items():
     ORACLE_SQL[f"{_kind}_fields"] = f"WITH {logs.events_as_sql(_kind)}, f AS (SELECT log_id, {_level} AS sev, {_ts} AS ts FROM lines) SELECT log_id, '{_kind}' AS format, sev, count(*) AS n, min(ts) AS ts_min, max(ts) AS ts_max FROM f GROUP BY log_id, sev"
 
 
-def _scores_sql(redacted: str = "raw") -> str:
+def _scores_sql(redacted: str = "raw", records: str = _RECORDS, sev: str | None = None) -> str:
     """Records with templates and scores, each template's best record marked (``best``), up to what was redacted."""
-    return f"""{_TEMPLATES.replace("WITH", "WITH RECURSIVE", 1).replace("SELECT log_id, idx, raw, " + _mask_sql("raw"), f"SELECT log_id, idx, raw, {redacted} AS redacted, {_mask_sql(redacted)}")},
+    return f"""{_TEMPLATES.replace(_RECORDS, records).replace("WITH", "WITH RECURSIVE", 1).replace("SELECT log_id, idx, raw, " + _mask_sql("raw"), f"SELECT log_id, idx, raw, {redacted} AS redacted, {_mask_sql(redacted)}")},
 tm AS (SELECT log_id, template, cnt, round(cnt * one, 6) AS rarity, max(round(cnt * one, 6)) OVER (PARTITION BY log_id) AS most FROM t JOIN one USING (log_id, template)),
 sc AS (SELECT *, round(0.4::DOUBLE * coalesce(rarity / nullif(most, 0), 0) + 0.5::DOUBLE * CASE sev WHEN 4 THEN 1.0 WHEN 3 THEN 0.9 WHEN 2 THEN 0.6 WHEN 1 THEN 0.2 ELSE 0.1 END::DOUBLE + 0.1::DOUBLE * (cnt = 1)::INT, 9) AS score
-  FROM (SELECT *, {_SEV.format(x="raw")} AS sev, ceil(length(raw) / 4)::BIGINT AS tokens FROM m) JOIN tm USING (log_id, template)),
-best AS (SELECT *, row_number() OVER (PARTITION BY log_id, template ORDER BY score DESC, idx) = 1 AS one FROM sc)"""
+  FROM (SELECT *, {sev or _SEV.format(x="raw")} AS sev, ceil(length(raw) / 4)::BIGINT AS tokens FROM m) JOIN tm USING (log_id, template)),
+best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY log_id, template ORDER BY score DESC, idx) = 1 AS one FROM sc)"""
 
 
-def _selected_sql(redacted: str = "raw", budget: int = 2000, context: int = 2) -> str:
+def _selected_sql(redacted: str = "raw", budget: int = 2000, context: int = 2, max_lines: int = 2**62, records: str = _RECORDS, sev: str | None = None) -> str:
     """Selection as the plain loops over ranked extras, then over context."""
-    return f"""{_scores_sql(redacted)},
-cand AS (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, idx) AS k FROM best WHERE NOT one AND sev >= 3),
-fill(log_id, k, idx, used, take) AS (SELECT log_id, 0::BIGINT, -1::BIGINT, sum(tokens)::BIGINT, false FROM best WHERE one GROUP BY log_id
-  UNION ALL SELECT f.log_id, c.k, c.idx, f.used + CASE WHEN f.used + c.tokens <= {budget} THEN c.tokens ELSE 0 END, f.used + c.tokens <= {budget}
-  FROM fill f JOIN cand c ON c.log_id = f.log_id AND c.k = f.k + 1 WHERE f.used < {budget} AND 2 * f.used <= {budget}),
+    return f"""{_scores_sql(redacted, records, sev)},
+cand AS MATERIALIZED (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, idx) AS k FROM best WHERE NOT one AND sev >= 3),
+fill(log_id, k, idx, used, lines, take) AS (SELECT log_id, 0::BIGINT, -1::BIGINT, sum(tokens)::BIGINT, count(*), false FROM best WHERE one GROUP BY log_id
+  UNION ALL SELECT f.log_id, c.k, c.idx, f.used + CASE WHEN f.used + c.tokens <= {budget} THEN c.tokens ELSE 0 END, f.lines + (f.used + c.tokens <= {budget})::INT, f.used + c.tokens <= {budget}
+  FROM fill f JOIN cand c ON c.log_id = f.log_id AND c.k = f.k + 1 WHERE f.used < {budget} AND 2 * f.used <= {budget} AND f.lines < {max_lines}),
 two AS (SELECT b.*, b.one OR coalesce(f.take, false) AS main FROM best b LEFT JOIN fill f USING (log_id, idx)),
 near AS (SELECT *, max(main::INT) OVER (PARTITION BY log_id ORDER BY idx ROWS BETWEEN {context} PRECEDING AND {context} FOLLOWING) AS near FROM two),
-ctx AS (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY idx) AS k FROM near WHERE near = 1 AND NOT main),
+ctx AS MATERIALIZED (SELECT log_id, idx, tokens, row_number() OVER (PARTITION BY log_id ORDER BY idx) AS k FROM near WHERE near = 1 AND NOT main),
 fold(log_id, k, idx, room, take) AS (SELECT log_id, 0::BIGINT, -1::BIGINT, ({budget} - sum(tokens) FILTER (main))::BIGINT, false FROM two GROUP BY log_id
   UNION ALL SELECT f.log_id, c.k, c.idx, f.room - CASE WHEN c.tokens <= f.room THEN c.tokens ELSE 0 END, c.tokens <= f.room FROM fold f JOIN ctx c ON c.log_id = f.log_id AND c.k = f.k + 1 WHERE f.room > 0),
 sel AS (SELECT t.*, coalesce(f.take, false) AS as_context, t.main OR coalesce(f.take, false) AS kept FROM two t LEFT JOIN fold f USING (log_id, idx))"""
@@ -269,17 +339,22 @@ rows AS (SELECT log_id, idx * 2 + 1 AS ord, CASE WHEN as_context THEN 'context'
     array_to_string(list_concat([l[1] || CASE WHEN first AND cnt > 1 THEN '   (×' || cnt || ')' ELSE '' END || CASE WHEN as_context THEN '  ·' ELSE '' END], l[2:]), chr(10)) AS text FROM k
   UNION ALL SELECT log_id, idx * 2, 'gap', '… ' || (idx - prev - 1) || ' lines omitted' || CASE WHEN prev >= 0 THEN ' (from line ' || (prev + 1) || ')' ELSE '' END || ' …' FROM k WHERE idx - prev > 1
   UNION ALL SELECT log_id, n * 2, 'gap', '… ' || (n - 1 - m) || ' lines omitted (from line ' || (m + 1) || ') …' FROM (SELECT log_id, count(*) AS n, max(idx) FILTER (kept) AS m FROM sel GROUP BY log_id) WHERE n - 1 > m)"""
-_OUTPUT = f""",
+def _output(span: str = "''") -> str:
+    """Headers and texts; ``span``: what the first line ends with."""
+    return f""",
 top AS (SELECT log_id, string_agg('"' || template || '" ×' || cnt, ' ; ' ORDER BY cnt DESC, rarity DESC, template) AS top FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY cnt DESC, rarity DESC, template) AS r FROM tm) WHERE r <= 5 GROUP BY log_id),
-heads AS (SELECT log_id, count(*) AS n, count(*) FILTER (kept) AS kept, ceil(sum(strlen(raw)) / 4)::BIGINT AS it, count(*) FILTER (sev = 4) AS s4, count(*) FILTER (sev = 3) AS s3, count(*) FILTER (sev = 2) AS s2, count(*) FILTER (sev = 1) AS s1, count(*) FILTER (sev = 0) AS s0 FROM sel GROUP BY log_id),
-texts AS (SELECT log_id, '# LOG SUMMARY  |  ' || n || ' lines → ' || kept || ' kept (' || (kept * 100 // n) || '%)' || chr(10) || '# levels: FATAL ' || s4 || '  ERROR ' || s3 || '  WARN ' || s2 || '  INFO ' || s1 || '  OTHER ' || s0 || chr(10)
+heads AS (SELECT log_id, count(*) AS n, count(*) FILTER (kept) AS kept, ceil(sum(strlen(raw)) / 4)::BIGINT AS it, count(*) FILTER (sev = 4) AS s4, count(*) FILTER (sev = 3) AS s3, count(*) FILTER (sev = 2) AS s2, count(*) FILTER (sev = 1) AS s1, count(*) FILTER (sev = 0) AS s0, {span} AS span FROM sel GROUP BY log_id),
+texts AS (SELECT log_id, '# LOG SUMMARY  |  ' || n || ' lines → ' || kept || ' kept (' || (kept * 100 // n) || '%)' || span || chr(10) || '# levels: FATAL ' || s4 || '  ERROR ' || s3 || '  WARN ' || s2 || '  INFO ' || s1 || '  OTHER ' || s0 || chr(10)
     || '# top templates: ' || top || chr(10) || '{R.NOTE}' || chr(10) AS header, body, n, kept, it
   FROM heads JOIN top USING (log_id) JOIN (SELECT log_id, string_agg(text, chr(10) ORDER BY ord) || chr(10) AS body FROM rows GROUP BY log_id) USING (log_id))"""
+
+
+_OUTPUT = _output()
 _SQUEEZED = f"trim(regexp_replace({_redact_sql('raw')}, '\\s+', ' ', 'g'))"
 _FINGERPRINT = r"trim(regexp_replace(trim(regexp_replace(regexp_replace({x}, '\x1b\[[0-9;]*m|\x1b\[K', '', 'g'), '^\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\.\d+Z\s*', '')), '\s+', ' ', 'g'))"
 _KEY = _FINGERPRINT.format(x="line")
 _SIGNALS = f"""numbered AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY pos) - 1 AS pos, line FROM lines),
-signals AS (SELECT log_id, pos AS signal, CASE WHEN pos % 3 = 0 THEN 'critical' ELSE 'important' END AS importance FROM numbered WHERE contains(line, ' ERROR ') AND pos % 11 = 0),
+signals AS (SELECT log_id, pos AS signal, CASE WHEN pos % 3 = 0 THEN 'critical' ELSE 'important' END AS importance FROM numbered WHERE contains(line, ' ERROR ')),
 keys AS (SELECT DISTINCT s.log_id, s.signal, {_KEY}[1:60] AS key FROM signals s JOIN numbered n ON n.log_id = s.log_id AND n.pos BETWEEN s.signal AND s.signal + 2 WHERE length({_KEY}) >= 12)"""
 _RECALL = f"""{_selected_sql()}{_RENDER}{_OUTPUT}, {_SIGNALS},
 plain AS (SELECT log_id, header || chr(10) || body AS text FROM texts), hits AS (SELECT s.log_id, s.signal, s.importance, coalesce(bool_or(contains(p.text, k.key)), false) AS hit FROM signals s JOIN plain p USING (log_id) LEFT JOIN keys k USING (log_id, signal) GROUP BY ALL),
@@ -289,6 +364,14 @@ sums AS (SELECT log_id, count(*) FILTER (importance = 'critical' AND hit) AS ch,
 report AS (SELECT log_id, raw_lines, kept_lines, CASE WHEN coalesce(ct, 0) = 0 THEN 1.0 ELSE round(ch / ct, 3) END::DOUBLE AS critical_recall, coalesce(ch, 0) AS critical_hits, coalesce(ct, 0) AS critical_total,
   CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE round(ih / n, 3) END::DOUBLE AS important_recall, coalesce(ih, 0) AS important_hits, coalesce(n, 0) AS important_total, round(kept_lines / raw_lines * 100, 1) AS keep_pct, '?' AS failure_category
   FROM shares JOIN keeps USING (log_id) LEFT JOIN sums USING (log_id))"""
+_SIZES = f"""{_selected_sql()}{_RENDER}{_OUTPUT},
+raw_sizes AS (SELECT log_id, count(*) AS raw_lines, sum(strlen(line) + 1)::BIGINT AS raw_bytes FROM lines GROUP BY log_id),
+both_sizes AS (SELECT log_id, raw_lines, raw_bytes, len(string_split(regexp_replace(header || chr(10) || body, '\\n\\z', ''), chr(10)))::BIGINT AS reduced_lines, strlen(header || chr(10) || body)::BIGINT AS reduced_bytes FROM raw_sizes JOIN texts USING (log_id))"""
+_TEXTS = "SELECT log_id, header, body, n AS input_records, kept AS kept_records, it AS input_tokens, ceil((strlen(header) + strlen(body)) / 4)::BIGINT AS output_tokens FROM texts"
+_SYNTH = f"""WITH recs AS (SELECT 'bench' AS log_id, i AS idx, '2024-01-01T00:00:' || lpad((i % 60)::VARCHAR, 2, '0') || CASE WHEN i % 200 = 0 THEN ' ERROR failed to acquire connection id=' || i WHEN i % 100 = 0 THEN ' WARN pool at capacity ' || i WHEN i % 20 = 0 THEN ' INFO request ' || i || ' done in ' || (i % 500) || 'ms' ELSE ' INFO health check ok' END AS raw FROM range({SYNTHETIC}) r(i))"""
+_JSON_FIELDS = [x.replace("line", "raw") for x in _FIELDS["json"]]
+_JSON = f"""WITH {logs.events_as_sql("json")}, recs AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY pos) - 1 AS idx, line AS raw FROM lines)"""
+_JSON_SPAN = f"CASE WHEN max({_JSON_FIELDS[1]}) IS NULL THEN '' ELSE ' | epoch ' || min({_JSON_FIELDS[1]}) || '–' || max({_JSON_FIELDS[1]}) END"
 
 ORACLE_SQL |= {
     "template_topk": f"{_TEMPLATES}, r AS (SELECT log_id, template, cnt, row_number() OVER (PARTITION BY log_id ORDER BY cnt DESC, round(cnt * one, 6) DESC, template) AS r FROM t JOIN one USING (log_id, template)) SELECT log_id, r, template, cnt FROM r WHERE r <= 5",
@@ -296,14 +379,35 @@ ORACLE_SQL |= {
     "blended_scores": f"{_scores_sql()} SELECT log_id, idx, round(score, 6) AS score FROM sc",
     "selected": f"{_selected_sql()} SELECT log_id, idx, template, as_context FROM sel WHERE kept",
     "render_rows": f"{_selected_sql()}{_RENDER} SELECT log_id, ord, kind, text FROM rows",
-    "reduce_output": f"{_selected_sql(_SQUEEZED)}{_RENDER}{_OUTPUT} SELECT log_id, header, body, n AS input_records, kept AS kept_records, it AS input_tokens, ceil((strlen(header) + strlen(body)) / 4)::BIGINT AS output_tokens FROM texts",
+    "reduce_output": f"{_selected_sql(_SQUEEZED)}{_RENDER}{_OUTPUT} {_TEXTS}",
     "entropy_tokens": r"WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM t WHERE strlen(token) >= 10), n AS (SELECT doc_id, token, c, count(*) / any_value(strlen(token)) AS p FROM c GROUP BY doc_id, token, c) SELECT doc_id, token, coalesce(round(sum(-p * log2(p)) FILTER (ascii(c) < 128), 6), 0) AS bits FROM n GROUP BY ALL",
-    "synth_log": f"WITH lines AS (SELECT i AS idx, '2024-01-01T00:00:' || lpad((i % 60)::VARCHAR, 2, '0') || CASE WHEN i % 200 = 0 THEN ' ERROR failed to acquire connection id=' || i WHEN i % 100 = 0 THEN ' WARN pool at capacity ' || i WHEN i % 20 = 0 THEN ' INFO request ' || i || ' done in ' || (i % 500) || 'ms' ELSE ' INFO health check ok' END AS line FROM range(20000) r(i)) SELECT {_mask_sql('line')} AS template, count(*) AS cnt, min(idx) AS first_idx FROM lines GROUP BY 1",
+    "synth_log": f"{_selected_sql(records=_SYNTH)}{_RENDER}{_OUTPUT} {_TEXTS}",
+    "synth_templates": f"{_SYNTH}, m AS (SELECT idx, {_mask_sql('raw')} AS template FROM recs) SELECT template, count(*) AS cnt, min(idx) AS first_idx FROM m GROUP BY 1",
+    "reduce_json": f"{_selected_sql(records=_JSON, sev=_JSON_FIELDS[0])}{_RENDER}{_output(_JSON_SPAN)} {_TEXTS}",
+    "reduce_blank": f"""SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS log_id, '# LOG SUMMARY  |  0 lines → 0 kept (0%)' || chr(10) || '# levels: FATAL 0  ERROR 0  WARN 0  INFO 0  OTHER 0' || chr(10) || '{R.NOTE}' || chr(10) AS header,
+  '' AS body, 0::BIGINT AS input_records, 0::BIGINT AS kept_records, 0::BIGINT AS input_tokens, ceil(strlen(header) / 4)::BIGINT AS output_tokens FROM events""",
+    "selected_max_lines": f"{_selected_sql(max_lines=MAX_LINES)} SELECT log_id, idx, template, as_context FROM sel WHERE kept",
+    "redact_shapes": f"WITH {logs.shapes_sql(logs.SECRETS)} SELECT event_id, {_redact_sql('line')} AS redacted FROM shapes",
+    "mask_shapes": f"WITH {logs.shapes_sql(logs.SHAPES)} SELECT event_id, {_mask_sql('line')} AS template FROM shapes",
+    "redact_tokens": rf"""WITH {logs.shapes_sql(logs.TOKENS)},
+t AS (SELECT event_id, unnest(range(len(l))) AS i, unnest(l) AS token FROM (SELECT event_id, string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ') AS l FROM shapes)),
+c AS (SELECT *, regexp_replace(token, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g') AS core FROM t),
+e AS (SELECT core, round(sum(-p * log2(p)), 9) AS bits FROM (SELECT core, x, count(*) / any_value(strlen(core)) AS p FROM (SELECT core, unnest(string_split(core, '')) AS x FROM (SELECT DISTINCT core FROM c WHERE core <> '')) GROUP BY core, x) GROUP BY core)
+SELECT event_id, string_agg(CASE WHEN strlen(core) >= 20 AND regexp_full_match(core, '[a-zA-Z0-9+/=_-]*') AND bits >= 3.5 THEN replace(token, core, '<REDACTED:hi>') ELSE token END, ' ' ORDER BY i) AS redacted FROM c LEFT JOIN e USING (core) GROUP BY event_id""",
+    "record_shapes": f"""WITH {logs.EVENTS_FRAMED_SQL},
+marked AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY pos) - 1 AS idx FROM lines),
+recs AS (SELECT format, log_id, idx::BIGINT AS idx, string_agg(line, chr(10) ORDER BY pos) AS raw, count(*) AS n, min(line) FILTER (starts) AS line, min(CASE WHEN format = 'json' AND starts THEN line ELSE '{{}}' END) FILTER (starts) AS js FROM marked GROUP BY ALL)
+SELECT log_id, idx, format, md5(raw) AS raw_md5, CASE WHEN format = 'json' AND n = 1 THEN {_JSON_FIELDS[0].replace("raw", "js")} WHEN format = 'klog' THEN {_FIELDS["klog"][0]}
+    WHEN format = 'logfmt' AND regexp_matches(raw, '(?:^|\\s)(?:level|lvl|severity)=') THEN {_RANK.format(x="trim(regexp_extract(raw, '(?:^|\\s)(?:level|lvl|severity)=(\\S*)', 1), '\"')")} ELSE {_SEV.format(x="raw")} END AS sev,
+  CASE WHEN format = 'json' AND n = 1 THEN {_JSON_FIELDS[1].replace("raw", "js")} END AS ts,
+  CASE WHEN format = 'json' AND n = 1 THEN json_extract_string(js, '$.msg') WHEN format = 'klog' THEN regexp_replace(substr(raw, instr(raw, ']') + 1), '^\\s+|\\s+$', '', 'g') ELSE raw END AS message FROM recs""",
     "fingerprints": f"WITH {_DOC} SELECT log_id, pos, CASE WHEN length({_KEY}) >= 12 THEN {_KEY} END AS fingerprint FROM l",
     "evidence_keys": f"WITH {logs.EVENTS_PLAIN_SQL}, {_SIGNALS} SELECT * FROM keys",
     "signal_recall": f"{_RECALL} SELECT * FROM report",
     "recall_overall": f"{_RECALL} SELECT count(*) AS cases, round(avg(critical_recall), 6) AS avg_critical_recall, sum(critical_hits)::BIGINT AS critical_hits, sum(critical_total)::BIGINT AS critical_total, round(avg(keep_pct), 6) AS avg_keep_pct FROM report",
-    "reduction_manifest": f"WITH {logs.EVENTS_PLAIN_SQL} SELECT log_id AS case_id, 'siltwork-2k' AS method, count(*) AS input_line_count, sum(strlen(line) + 1)::BIGINT AS input_byte_size, 2000 AS budget_tokens FROM lines GROUP BY log_id",
+    "reduction_manifest": f"""{_SIZES} SELECT log_id AS case_id, 'siltwork-2k' AS method, 'context_provider' AS mode, log_id || '/raw.log' AS raw_log_path, log_id || '.txt' AS context_path, raw_lines AS input_line_count, reduced_lines AS output_line_count,
+  raw_bytes AS input_byte_size, reduced_bytes AS output_byte_size, round(1 - reduced_lines / raw_lines, 6) AS reduction_ratio, 0 AS ranges, 2000 AS budget_tokens, 'siltwork' AS binary FROM both_sizes""",
+    "reduction_sizes": f"{_SIZES} SELECT *, round((1 - reduced_lines / raw_lines) * 100, 1) AS line_reduction_pct, round((1 - reduced_bytes / raw_bytes) * 100, 1) AS byte_reduction_pct FROM both_sizes",
     "tail_truncate": f"""WITH {_DOC}, h AS (SELECT log_id, pos, CASE WHEN pos % 5 = 0 THEN '# ' || line ELSE line END AS x FROM l),
 b AS (SELECT *, x LIKE '#%' AS head, strlen(x) + 1 AS n FROM h), s AS (SELECT log_id, sum(n) AS total, coalesce(sum(n) FILTER (head), 0) AS heads FROM b GROUP BY log_id),
 e AS (SELECT b.*, total > 600 AS long, heads, sum(n) OVER (PARTITION BY log_id, head ORDER BY pos DESC) AS tail FROM b JOIN s USING (log_id)),

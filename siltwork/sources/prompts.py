@@ -19,7 +19,7 @@ def from_json(df: DataFrame, value: str = "value") -> DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """``path, content`` of text files, paths without a scheme; a file is one row."""
     where = F.regexp_replace(F.col("_metadata.file_path"), "^file:(?://)?", "")
-    return spark.read.option("wholetext", True).text(path).select(where.alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(where.alias("path"), F.col("value").alias("content"))
 
 
 def prompt_paths(prompts: DataFrame, prompt_id: str = "prompt_id") -> DataFrame:
@@ -38,8 +38,8 @@ def detect(prompts: DataFrame, logs: DataFrame, prompt_id: str = "prompt_id", le
 def context(detected: DataFrame, outputs: DataFrame) -> DataFrame:
     """``detected`` with ``context``: a note on the log and its reduction; ``outputs`` are ``log_id`` (the path) and ``text``."""
     note = F.concat(
-        F.lit("siltwork: `"), "path", F.lit("` is a log of "), F.col("n_lines").cast("string"), F.lit(" lines. Work from its reduced form below instead of the raw file; for more detail, reduce it with a larger context or budget.\n--- LOG (reduced from "),
-        F.col("n_lines").cast("string"), F.lit(" lines) ---\n"), "text", F.lit("---\n"),
+        F.lit("siltwork hook: `"), "path", F.lit("` is a log of "), F.col("n_lines").cast("string"), F.lit(" lines. Work from its reduced form below instead of the raw file; for more detail, run `python -m siltwork "),
+        "path", F.lit(" --context 5` or raise `--budget`.\n--- LOG (reduced from "), F.col("n_lines").cast("string"), F.lit(" lines) ---\n"), "text", F.lit("---\n"),
     )
     return detected.join(outputs.withColumnRenamed("log_id", "path"), "path").withColumn("context", note).drop("text")
 

@@ -32,3 +32,17 @@ def stats(output: DataFrame) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines: manifests and reports."""
     df.write.mode("overwrite").json(path)
+
+
+def write_array(df: DataFrame, path: str, order: str) -> None:
+    """Files that make one JSON array in the order of their names, rows by ``order`` and indented; no row: an empty array.
+
+    Sorted by range, so that no task holds all rows; ``order`` is unique.
+    """
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if ends["low"] is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    text = F.regexp_replace(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}), "(?m)^", "  ")
+    text = F.concat(F.when(F.col(order) == ends["low"], "[\n").otherwise(""), text, F.when(F.col(order) == ends["high"], "\n]").otherwise(","))
+    df.repartitionByRange(order).sortWithinPartitions(order).select(text.alias("value")).write.mode("overwrite").text(path)
