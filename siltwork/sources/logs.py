@@ -30,7 +30,7 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     start = first.select("log_id", "at", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
     lines = d.join(start, ["log_id", "at"]).select("log_id", (F.col("start") + F.col("row") - F.col("first")).alias("pos"), "line")
     # a scan passes empty files over; the names are in the scan's index already
-    names = spark.createDataFrame([(re.sub("^file:/+", "file:///", x),) for x in files.inputFiles()], "log_id string")
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", x),) for x in files.inputFiles()], "log_id string")
     return lines.unionByName(names.join(first, "log_id", "left_anti").select("log_id", F.lit(0).cast("long").alias("pos"), F.lit("").alias("line")))
 
 
