@@ -144,17 +144,19 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets, saved."""
-    # ids alone, so that Spark broadcasts them while they are few, and the texts are not shuffled
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = save(reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), "first.id", "first.text_hash"), "ids")
+    ids = save(reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), "first.id", "first.text_hash"), "classes")
+    # ids alone first, so that Spark broadcasts them while they are few, and the texts are not shuffled
+    some = save(ids.select("id").distinct(), "ids")
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), width)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in shingle_sets(b.column(2), width)], pa.binary())], names=["id", "text_hash", "s"])
         tidy()
 
-    saved = save(_keyed(docs).join(ids, ["id", "text_hash"]).select("class", "text").mapInArrow(sets, "id long, s binary"), "full")
-    full = saved.dropDuplicates(["id"])  # rows that repeat a text
+    saved = save(_keyed(docs).join(some, "id", "left_semi").mapInArrow(sets, "id long, text_hash long, s binary"), "full")
+    # rows that repeat a text once; then other texts with these ids go
+    full = saved.dropDuplicates(["id", "text_hash"]).join(ids, ["id", "text_hash"]).select(F.col("class").alias("id"), "s")
 
     def run(batches):
         for b in batches:
@@ -168,7 +170,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
 
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     out = save(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
-    discard(ids, saved)
+    discard(ids, some, saved)
     return out
 
 
