@@ -12,6 +12,8 @@ of them meet as suffixes that share at least ``width - REACH + 1`` bytes after t
    a suffix is merged a logarithmic number of times.
 3. What was found goes back to the chunks as offsets of repeated strings, whose bytes are removed.
 
+:func:`add_batch` keeps the families on disk, so that a later batch meets the earlier ones.
+
 Equal contexts of a chunk travel once, so a passage of a third of all documents is one entry for each chunk.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import BLOCK, U, by_bucket, column_bytes, eights, joined, mix, packed, span_hash, unpacked
+from siltwork.llm.common import save
 from siltwork.llm.substring import SENT, answers, classes, in_chunks, place_of, sent, times
 
 #: Places a string may have its anchor at, and bytes of the hash that chooses it.
@@ -30,6 +33,7 @@ REACH, GRAM = 128, 16
 _POS = 28  # bits of a place within a block
 _BITS = 43
 _BATCH = 20_000
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, times long"
 
 
 def segments(off: np.ndarray, width: int):
@@ -266,6 +270,132 @@ def _locally(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
+def _offer(table, chunk: int, width: int, n_buckets: int, known: np.ndarray | None) -> pa.Table:
+    """Suffixes with a ``known`` fingerprint (all, if it is None), each context once: fingerprint, context, offsets, bytes of all its strings."""
+    got, seen = [], (np.zeros(0, U), np.zeros(0, U))
+    for _, data, x in _segments_of(table, width):
+        f, (c, e) = x.fingerprints(width), x.contexts(width)
+        take = np.arange(len(f)) if known is None else np.flatnonzero(_in(f >> U(64 - _BITS), known))
+        order, first = classes(c[take], e[take])
+        take = take[order[first]]
+        take = take[place_of(c[take], e[take], *seen) < 0]
+        order = np.argsort(np.r_[seen[0], c[take]], kind="stable")
+        seen = tuple(np.r_[s, v[take]][order] for s, v in zip(seen, (c, e), strict=True))
+        if not len(take):
+            continue
+        lo, size = x.lo[take], x.hi[take] - x.lo[take] + width
+        end = np.cumsum(size)
+        flat = data[np.repeat(lo - end + size, size) + np.arange(end[-1])]
+        got.append((f[take], c[take], e[take], (x.a - x.hi)[take].astype(np.uint8), (x.a - x.lo)[take].astype(np.uint8), size, flat))
+    if not got:
+        return sent([])
+    f, c, e, low, high, size, flat = (np.concatenate(p) for p in zip(*got, strict=True))
+    start = np.cumsum(size) - size
+    order = np.argsort(f, kind="stable")
+    rows = []
+    for b, x, y in by_bucket(f[order], 64, n_buckets):
+        pick = order[x:y]
+        n = size[pick]
+        end = np.cumsum(n)
+        body = flat[np.repeat(start[pick] - end + n, n) + np.arange(end[-1])]
+        rows.append((b, chunk, np.int64(len(pick)).tobytes() + b"".join(v[pick].tobytes() for v in (f, c, e, low, high)) + body.tobytes()))
+    return sent(rows)
+
+
+def _batches(table):
+    part, total = [], 0
+    for k, body in enumerate(table["body"]):
+        part.append((k, body.as_py()))
+        total += int(np.frombuffer(part[-1][1], np.int64, 1)[0])
+        if total >= _BATCH:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def _entries(part, width: int) -> Level:
+    """A batch, not sorted yet, of what chunks offered; ``who`` is the number of the message."""
+    out, total = [], 0
+    for k, body in part:
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        f, c, e = (np.frombuffer(body, U, n, 8 + 8 * n * i) for i in range(3))
+        low, high = (np.frombuffer(body, np.uint8, n, 8 + 24 * n + n * i).astype(np.int64) for i in range(2))
+        flat = np.frombuffer(body, np.uint8, offset=8 + 26 * n)
+        size = high - low + width
+        out.append((flat, f, c, e, np.full(n, k), low, high, total + np.cumsum(size) - size, np.zeros((n, REACH // 8), np.uint8)))
+        total += len(flat)
+    return Level(width, *(np.concatenate(p) for p in zip(*out, strict=True)))
+
+
+def _answers(family: Family, chunks: list[int]) -> list[tuple[int, bytes]]:
+    """For each chunk its contexts with the offsets of strings that occur elsewhere."""
+    rows = []
+    for x in family.levels:
+        hit = np.flatnonzero((x.who >= 0) & x.found.any(axis=1))
+        hit = hit[np.argsort(x.who[hit], kind="stable")]
+        c, e, bits = x.c[hit], x.d[hit], x.found[hit]
+        at = np.searchsorted(x.who[hit], np.arange(len(chunks) + 1))
+        rows += [(k, c[a:b].tobytes() + e[a:b].tobytes() + bits[a:b].tobytes()) for k, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a]
+    return rows
+
+
+def _dumped(x: Level) -> bytes:
+    """A level as bytes; where its entries came from and what was found are not kept."""
+    return np.array([len(x), len(x.store)], np.int64).tobytes() + b"".join(np.ascontiguousarray(v).tobytes() for v in (x.f, x.c, x.d, x.low.astype(np.uint8), x.high.astype(np.uint8), x.start.astype(np.int64), x.store))
+
+
+def _loaded(body: bytes, width: int) -> Level:
+    n, size = np.frombuffer(body, np.int64, 2).tolist()
+    f, c, d = (np.frombuffer(body, U, n, 16 + 8 * n * i) for i in range(3))
+    low, high = (np.frombuffer(body, np.uint8, n, 16 + 24 * n + n * i).astype(np.int64) for i in range(2))
+    start, store = np.frombuffer(body, np.int64, n, 16 + 26 * n), np.frombuffer(body, np.uint8, size, 16 + 34 * n)
+    return Level(width, store, f, c, d, np.full(n, -1), low, high, start, np.zeros((n, REACH // 8), np.uint8))
+
+
+def _finish(table, back, width: int) -> pa.Table:
+    data, off = column_bytes(table["text"])
+    bodies = [x.as_py() for x in back["body"]]
+    size = 16 + REACH // 8
+    known, second = (np.concatenate([np.frombuffer(x, U, len(x) // size, len(x) // size * 8 * i) for x in bodies]) if bodies else np.zeros(0, U) for i in range(2))
+    bits = np.concatenate([np.frombuffer(x, np.uint8, offset=len(x) // size * 16).reshape(-1, REACH // 8) for x in bodies]) if bodies else np.zeros((0, REACH // 8), np.uint8)
+    order = np.argsort(known, kind="stable")
+    known, second, bits = known[order], second[order], bits[order]
+    got = [(a, x.a + a, x.lo + a, x.hi + a, *x.contexts(width)) for a, _, x in _segments_of(table, width)]
+    a, lo, hi, c, e = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (1, 2, 3, 4, 5))
+    depth = np.zeros(len(data) + width + 1, np.int32)
+    twice = _locally(c, e) if len(c) else np.zeros(0, bool)
+    np.add.at(depth, lo[twice], 1)
+    np.subtract.at(depth, hi[twice] + width, 1)
+    if len(known) and len(c):
+        at = place_of(c, e, known, second)
+        hit = np.flatnonzero((at >= 0) & ~twice)
+        for k in range(0, len(hit), 50_000):
+            part = hit[k : k + 50_000]
+            row, o = np.nonzero(np.unpackbits(bits[at[part]], axis=1))
+            s = a[part[row]] - o
+            np.add.at(depth, s, 1)
+            np.subtract.at(depth, s + width, 1)
+    gone = np.cumsum(depth)[: len(data)] > 0
+    starts = gone.copy()
+    starts[1:] &= ~gone[:-1]
+    first = off[:-1][np.diff(off) > 0]
+    starts[first] = gone[first]
+    removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(starts)]
+    text = data[~gone].tobytes()
+    left = np.r_[0, np.cumsum(~gone)][off].tolist()
+    return pa.table(
+        {
+            "doc_id": table["doc_id"],
+            "n_bytes": pa.array(np.diff(off), pa.int64()),
+            "n_removed": pa.array(removed[off[1:]] - removed[off[:-1]], pa.int64()),
+            "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]], pa.int64()),
+            "kept": pa.array([text[x:y] for x, y in zip(left[:-1], left[1:], strict=True)], pa.binary()),
+            "times": table["times"],
+        }
+    )
+
+
 def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept binary``.
 
@@ -288,120 +418,54 @@ def remove_repeats(docs: DataFrame, width: int = 200, chunk_bytes: int = 4 << 20
         return sent([(b, key[0].as_py(), packed(v[x:y])) for b, x, y in by_bucket(v, _BITS + 1, n_buckets)])
 
     def offer(key, table, back):
-        """Live suffixes, each class once: fingerprint, class, offsets, bytes of all its strings."""
-        chunk = key[0].as_py()
         known = [unpacked(x.as_py()) for x in back["body"]]
         known = np.unique(np.concatenate(known)) if known else np.zeros(0, U)
-        if not len(known):
-            return sent([])
-        got, seen = [], (np.zeros(0, U), np.zeros(0, U))
-        for _, data, x in _segments_of(table, width):
-            f, (c, e) = x.fingerprints(width), x.contexts(width)
-            at = np.minimum(np.searchsorted(known, f >> U(64 - _BITS)), len(known) - 1)
-            take = np.flatnonzero(known[at] == f >> U(64 - _BITS))
-            order, first = classes(c[take], e[take])
-            take = take[order[first]]
-            take = take[place_of(c[take], e[take], *seen) < 0]
-            order = np.argsort(np.r_[seen[0], c[take]], kind="stable")
-            seen = tuple(np.r_[s, v[take]][order] for s, v in zip(seen, (c, e), strict=True))
-            lo, size = x.lo[take], x.hi[take] - x.lo[take] + width
-            end = np.cumsum(size)
-            flat = data[np.repeat(lo - end + size, size) + np.arange(end[-1])] if len(take) else np.zeros(0, np.uint8)
-            got.append((f[take], c[take], e[take], (x.a - x.hi)[take].astype(np.uint8), (x.a - x.lo)[take].astype(np.uint8), size, flat))
-        if not got:
-            return sent([])
-        f, c, e, low, high, size, flat = (np.concatenate(p) for p in zip(*got, strict=True))
-        start = np.cumsum(size) - size
-        order = np.argsort(f, kind="stable")
-        rows = []
-        for b, x, y in by_bucket(f[order], 64, n_buckets):
-            pick = order[x:y]
-            n = size[pick]
-            end = np.cumsum(n)
-            body = flat[np.repeat(start[pick] - end + n, n) + np.arange(end[-1])]
-            rows.append((b, chunk, np.int64(len(pick)).tobytes() + b"".join(v[pick].tobytes() for v in (f, c, e, low, high)) + body.tobytes()))
-        return sent(rows)
-
-    def batches(table):
-        part, total = [], 0
-        for k, body in enumerate(table["body"]):
-            part.append((k, body.as_py()))
-            total += int(np.frombuffer(part[-1][1], np.int64, 1)[0])
-            if total >= _BATCH:
-                yield part
-                part, total = [], 0
-        if part:
-            yield part
-
-    def entries(part) -> Level:
-        out, total = [], 0
-        for k, body in part:
-            n = int(np.frombuffer(body, np.int64, 1)[0])
-            f, c, e = (np.frombuffer(body, U, n, 8 + 8 * n * i) for i in range(3))
-            low, high = (np.frombuffer(body, np.uint8, n, 8 + 24 * n + n * i).astype(np.int64) for i in range(2))
-            flat = np.frombuffer(body, np.uint8, offset=8 + 26 * n)
-            size = high - low + width
-            out.append((flat, f, c, e, np.full(n, k), low, high, total + np.cumsum(size) - size, np.zeros((n, REACH // 8), np.uint8)))
-            total += len(flat)
-        return Level(width, *(np.concatenate(p) for p in zip(*out, strict=True)))
+        return _offer(table, key[0].as_py(), width, n_buckets, known) if len(known) and table.num_rows else sent([])
 
     def bucket(key, table):
-        family, chunks = Family(width), table["chunk"].to_pylist()
-        for part in batches(table):
-            family.add(entries(part))
-        rows = []
-        for x in family.levels:
-            hit = np.flatnonzero(x.found.any(axis=1))
-            hit = hit[np.argsort(x.who[hit], kind="stable")]
-            c, e, bits = x.c[hit], x.d[hit], x.found[hit]
-            at = np.searchsorted(x.who[hit], np.arange(len(chunks) + 1))
-            rows += [(k, c[a:b].tobytes() + e[a:b].tobytes() + bits[a:b].tobytes()) for k, a, b in zip(chunks, at[:-1], at[1:], strict=True) if b > a]
-        return answers(rows)
-
-    def finish(table, back):
-        data, off = column_bytes(table["text"])
-        bodies = [x.as_py() for x in back["body"]]
-        size = 16 + REACH // 8
-        known, second = (np.concatenate([np.frombuffer(x, U, len(x) // size, len(x) // size * 8 * i) for x in bodies]) if bodies else np.zeros(0, U) for i in range(2))
-        bits = np.concatenate([np.frombuffer(x, np.uint8, offset=len(x) // size * 16).reshape(-1, REACH // 8) for x in bodies]) if bodies else np.zeros((0, REACH // 8), np.uint8)
-        order = np.argsort(known, kind="stable")
-        known, second, bits = known[order], second[order], bits[order]
-        got = [(a, x.a + a, x.lo + a, x.hi + a, *x.contexts(width)) for a, _, x in _segments_of(table, width)]
-        a, lo, hi, c, e = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (1, 2, 3, 4, 5))
-        depth = np.zeros(len(data) + width + 1, np.int32)
-        twice = _locally(c, e) if len(c) else np.zeros(0, bool)
-        np.add.at(depth, lo[twice], 1)
-        np.subtract.at(depth, hi[twice] + width, 1)
-        if len(known) and len(c):
-            at = place_of(c, e, known, second)
-            hit = np.flatnonzero((at >= 0) & ~twice)
-            for k in range(0, len(hit), 50_000):
-                part = hit[k : k + 50_000]
-                row, o = np.nonzero(np.unpackbits(bits[at[part]], axis=1))
-                s = a[part[row]] - o
-                np.add.at(depth, s, 1)
-                np.subtract.at(depth, s + width, 1)
-        gone = np.cumsum(depth)[: len(data)] > 0
-        starts = gone.copy()
-        starts[1:] &= ~gone[:-1]
-        first = off[:-1][np.diff(off) > 0]
-        starts[first] = gone[first]
-        removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(starts)]
-        text = data[~gone].tobytes()
-        left = np.r_[0, np.cumsum(~gone)][off].tolist()
-        return pa.table(
-            {
-                "doc_id": table["doc_id"],
-                "n_bytes": pa.array(np.diff(off), pa.int64()),
-                "n_removed": pa.array(removed[off[1:]] - removed[off[:-1]], pa.int64()),
-                "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]], pa.int64()),
-                "kept": pa.array([text[x:y] for x, y in zip(left[:-1], left[1:], strict=True)], pa.binary()),
-                "times": table["times"],
-            }
-        )
+        family = Family(width)
+        for part in _batches(table):
+            family.add(_entries(part, width))
+        return answers(_answers(family, table["chunk"].to_pylist()))
 
     hits = d.groupBy("chunk").applyInArrow(probe, SENT).groupBy("bucket").applyInArrow(live, "chunk long, body binary")
     offered = d.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(offer, SENT)
     found = offered.groupBy("bucket").applyInArrow(bucket, "chunk long, body binary")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, times long"
-    return times(d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, out))
+    return times(d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda t, back: _finish(t, back, width), RESULT))
+
+
+def add_batch(docs: DataFrame, index: str, width: int = 200, chunk_bytes: int = 4 << 20, buckets: int = 64) -> DataFrame:
+    """:func:`remove_repeats` of a new batch against itself and all batches added to ``index`` before, a folder that all executors see.
+
+    The index holds every suffix of its batches at an anchor with its bytes (some four times the text), as a family of levels for each of
+    ``buckets`` ranges of fingerprints, fixed by the first batch. A new batch is scanned against the levels and merged into them;
+    the new family is a folder of its own, beside the last one. Documents of earlier batches are not returned again. A bucket's family
+    is held by one task: ``buckets`` grows with the corpus.
+    """
+    if width <= REACH + GRAM:
+        raise ValueError(f"width must exceed {REACH + GRAM}")
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(index)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(int(x.getPath().getName()) for x in fs.listStatus(path)) if fs.exists(path) else []
+    schema = "bucket int, buckets int, level int, body binary"
+    old = spark.read.schema(schema).parquet(f"{index}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    if versions and (row := old.select("buckets").first()):
+        buckets = row["buckets"]
+    d, _ = in_chunks(docs, chunk_bytes, copies=2)
+
+    def bucket(key, table, saved):
+        family = Family(width, [_loaded(x, width) for _, x in sorted(zip(saved["level"].to_pylist(), saved["body"].to_pylist(), strict=True))])
+        for part in _batches(table):
+            family.add(_entries(part, width))
+        found = [(-1, c, x) for c, x in _answers(family, table["chunk"].to_pylist())]
+        rows = [*found, *((k, key[0].as_py(), _dumped(x)) for k, x in enumerate(family.levels))]
+        level, at, body = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"level": pa.array(level, pa.int32()), "at": pa.array(at, pa.int64()), "body": pa.array(body, pa.binary())})
+
+    offered = d.groupBy("chunk").applyInArrow(lambda key, t: _offer(t, key[0].as_py(), width, buckets, None), SENT)
+    both = save(offered.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(bucket, "level int, at long, body binary"), "family")
+    levels = both.where("level >= 0").select(F.col("at").cast("int").alias("bucket"), F.lit(buckets).alias("buckets"), "level", "body")
+    levels.write.parquet(f"{index}/{(versions or [0])[-1] + 1}")
+    found = both.where("level < 0").select(F.col("at").alias("chunk"), "body")
+    return times(d.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda t, back: _finish(t, back, width), RESULT))

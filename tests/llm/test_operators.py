@@ -67,6 +67,28 @@ def test_suffixes(docs, chunk_bytes):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_batches_meet_an_index(spark, docs, tmp_path):
+    """Later batches are judged against all earlier ones; levels grow geometrically."""
+    texts = [(d, t.encode()) for d, t in rows(docs)]
+    batches = [texts[:25], texts[25:50], texts[50:58], texts[58:]]
+    seen = Counter()
+    for k, batch in enumerate(batches):
+        seen.update(b[i : i + 200] for _, b in batch for i in range(len(b) - 199))
+        df = spark.createDataFrame([(d, b.decode()) for d, b in batch], "doc_id long, text string")
+        got = [(*tuple(r)[:4], bytes(r.kept)) for r in suffixes.add_batch(df, str(tmp_path / "index"), 200, 4_000, buckets=3).collect()]
+        want = []
+        for d, b in batch:
+            gone = bytearray(len(b))
+            for i in range(len(b) - 199):
+                if seen[b[i : i + 200]] > 1:
+                    gone[i : i + 200] = b"\1" * 200
+            want.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        key = lambda r: (ORDER(r[0]), r[1:])
+        assert sorted(got, key=key) == sorted(want, key=key)
+        levels = spark.read.parquet(str(tmp_path / "index" / str(k + 1)))
+        assert levels.groupBy("bucket").count().agg(F.max("count")).first()[0] <= k + 1 and levels.select("bucket").distinct().count() <= 3
+
+
 def brute_near(data, percent):
     """Doc ids, set sizes, smallest id of the component by plain comparison of all rows."""
     sets = []
