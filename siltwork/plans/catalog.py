@@ -106,6 +106,40 @@ def reduce_blank(spark, sf_dir):
     return R.reduce_logs(blank).output()
 
 
+@tidied
+def reduce_stats(spark, sf_dir):
+    """The line of statistics of each reduction."""
+    return sinks.stats(R.reduce_logs(_lines(spark, sf_dir), RAW).output())
+
+
+@tidied
+def written_texts(spark, sf_dir):
+    """Reductions as the sink of texts writes them, read back."""
+    path = f"{folder(spark)}/texts"
+    sinks.write_texts(R.reduce_logs(_lines(spark, sf_dir), RAW).output(), path)
+    d = spark.read.schema("value string, log_id string").text(path, wholetext=True)
+    return d.groupBy("log_id").agg(F.md5(F.regexp_replace(F.max("value"), r"\n\z", "")).alias("text_md5"))
+
+
+def file_lines(spark, sf_dir):
+    """A file a day of the events' lines, read back as logs."""
+    path = f"{folder(spark)}/files"
+    lines = _lines(spark, sf_dir)
+    lines.withColumn("line", F.concat("line", F.when(F.col("pos") % 2 == 0, "\r").otherwise(""))).repartition("log_id").sortWithinPartitions("log_id", "pos").select("log_id", "line").write.partitionBy("log_id").text(path)
+    d = logs.from_files(spark, f"{path}/log_id=*")
+    return d.select(F.regexp_extract("log_id", "log_id=([^/]*)/", 1).alias("log_id"), "pos", "line")
+
+
+def hook_answers(spark, sf_dir):
+    """Answers to prompts that name documents as files: the parts of the JSON."""
+    ask, files = _asked(spark, sf_dir)
+    p = prompts.from_json(ask)
+    found = prompts.detect(p, files, least_lines=5)
+    answer = prompts.answers(p, prompts.context(found, files.select(F.col("path").alias("log_id"), F.concat("content", F.lit("\n")).alias("text"))))
+    part = lambda name: F.get_json_object("answer", f"$.hookSpecificOutput.{name}")
+    return answer.select("prompt_id", part("hookEventName").alias("event"), F.md5(part("additionalContext")).alias("context_md5"))
+
+
 def redact_shapes(spark, sf_dir):
     """A text of each kind of secret."""
     return logs.shapes(spark, sf_dir, logs.SECRETS).select("event_id", T.redact_patterns(F.col("line")).alias("redacted"))
@@ -154,7 +188,7 @@ def blended_scores(spark, sf_dir):
 
 
 def entropy_tokens(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", r"(?U)\s+")).alias("token")).where("octet_length(token) >= 10").distinct()
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", r"(?U)\s+")).alias("token")).where("token <> ''").distinct()
     return d.select("doc_id", "token", F.round(T.entropy(F.col("token")), 6).alias("bits"))
 
 
@@ -225,11 +259,17 @@ def tail_truncate(spark, sf_dir):
     return E.tail_truncate(rows, 600)
 
 
-def prompt_paths(spark, sf_dir):
-    """Prompts that name documents as files; those of at least 5 lines count as logs."""
+def _asked(spark, sf_dir):
+    """Prompts that name documents as files, and the files."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = d.select(F.concat(F.lit("/logs/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
     ask = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), F.to_json(F.struct(F.concat("text", F.lit(" see ./none.txt and /logs/"), "conv_id", F.lit(".txt or /logs/"), F.col("conv_id") + F.col("turn"), F.lit(".txt")).alias("prompt"))).alias("value"))
+    return ask, files
+
+
+def prompt_paths(spark, sf_dir):
+    """The log of each prompt; documents of at least 5 lines count as logs."""
+    ask, files = _asked(spark, sf_dir)
     return prompts.detect(prompts.from_json(ask), files, least_lines=5)
 
 
@@ -248,7 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         doc_lines, format_scores, format_detect, record_assembly, level_infer, mask_templates, template_stats, severity_counts, redact_patterns, redact_shapes, redact_tokens, mask_shapes, record_shapes,
-        selected, selected_max_lines, render_rows, reduce_output, reduce_json, reduce_blank,
+        selected, selected_max_lines, render_rows, reduce_output, reduce_json, reduce_blank, reduce_stats, written_texts, file_lines, hook_answers,
         *map(_fields_of, ("json", "logfmt", "klog", "syslog")), template_topk, document_frequency, blended_scores, entropy_tokens, synth_log, synth_templates,
         fingerprints, evidence_keys, signal_recall, recall_overall, reduction_manifest, reduction_sizes, tail_truncate, prompt_paths, stream_templates,
     )
@@ -367,6 +407,9 @@ report AS (SELECT log_id, raw_lines, kept_lines, CASE WHEN coalesce(ct, 0) = 0 T
 _SIZES = f"""{_selected_sql()}{_RENDER}{_OUTPUT},
 raw_sizes AS (SELECT log_id, count(*) AS raw_lines, sum(strlen(line) + 1)::BIGINT AS raw_bytes FROM lines GROUP BY log_id),
 both_sizes AS (SELECT log_id, raw_lines, raw_bytes, len(string_split(regexp_replace(header || chr(10) || body, '\\n\\z', ''), chr(10)))::BIGINT AS reduced_lines, strlen(header || chr(10) || body)::BIGINT AS reduced_bytes FROM raw_sizes JOIN texts USING (log_id))"""
+_ASKED = r"""WITH f AS (SELECT '/logs/' || doc_id || '.txt' AS path, text, len(string_split(text, chr(10))) AS pieces, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS n_lines FROM documents),
+p AS (SELECT conv_id || '-' || turn AS prompt_id, regexp_extract_all(text || ' see ./none.txt and /logs/' || conv_id || '.txt or /logs/' || (conv_id + turn) || '.txt', '(?m)(?:^|\s)((?:/|\.\.?/|~/|[A-Z]:\\)[\w./\\-]+)', 1) AS ps FROM conversations),
+u AS (SELECT prompt_id, unnest(ps) AS path, unnest(range(len(ps))) AS nth FROM p), found AS (SELECT prompt_id, arg_min(path, nth) AS path, arg_min(n_lines, nth) AS n_lines, arg_min(text, nth) AS text FROM u JOIN f USING (path) WHERE pieces >= 5 GROUP BY prompt_id)"""
 _TEXTS = "SELECT log_id, header, body, n AS input_records, kept AS kept_records, it AS input_tokens, ceil((strlen(header) + strlen(body)) / 4)::BIGINT AS output_tokens FROM texts"
 _SYNTH = f"""WITH recs AS (SELECT 'bench' AS log_id, i AS idx, '2024-01-01T00:00:' || lpad((i % 60)::VARCHAR, 2, '0') || CASE WHEN i % 200 = 0 THEN ' ERROR failed to acquire connection id=' || i WHEN i % 100 = 0 THEN ' WARN pool at capacity ' || i WHEN i % 20 = 0 THEN ' INFO request ' || i || ' done in ' || (i % 500) || 'ms' ELSE ' INFO health check ok' END AS raw FROM range({SYNTHETIC}) r(i))"""
 _JSON_FIELDS = [x.replace("line", "raw") for x in _FIELDS["json"]]
@@ -380,7 +423,7 @@ ORACLE_SQL |= {
     "selected": f"{_selected_sql()} SELECT log_id, idx, template, as_context FROM sel WHERE kept",
     "render_rows": f"{_selected_sql()}{_RENDER} SELECT log_id, ord, kind, text FROM rows",
     "reduce_output": f"{_selected_sql(_SQUEEZED)}{_RENDER}{_OUTPUT} {_TEXTS}",
-    "entropy_tokens": r"WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM t WHERE strlen(token) >= 10), n AS (SELECT doc_id, token, c, count(*) / any_value(strlen(token)) AS p FROM c GROUP BY doc_id, token, c) SELECT doc_id, token, coalesce(round(sum(-p * log2(p)) FILTER (ascii(c) < 128), 6), 0) AS bits FROM n GROUP BY ALL",
+    "entropy_tokens": r"WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents), c AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM t WHERE token <> ''), n AS (SELECT doc_id, token, c, count(*) / any_value(strlen(token)) AS p FROM c GROUP BY doc_id, token, c) SELECT doc_id, token, coalesce(round(sum(-p * log2(p)) FILTER (ascii(c) < 128), 6), 0) AS bits FROM n GROUP BY ALL",
     "synth_log": f"{_selected_sql(records=_SYNTH)}{_RENDER}{_OUTPUT} {_TEXTS}",
     "synth_templates": f"{_SYNTH}, m AS (SELECT idx, {_mask_sql('raw')} AS template FROM recs) SELECT template, count(*) AS cnt, min(idx) AS first_idx FROM m GROUP BY 1",
     "reduce_json": f"{_selected_sql(records=_JSON, sev=_JSON_FIELDS[0])}{_RENDER}{_output(_JSON_SPAN)} {_TEXTS}",
@@ -414,9 +457,14 @@ e AS (SELECT b.*, total > 600 AS long, heads, sum(n) OVER (PARTITION BY log_id,
 o AS (SELECT log_id, CASE WHEN long AND NOT head THEN 2 ELSE 0 END AS part, pos, x FROM e WHERE NOT long OR head OR tail <= 600 - heads
   UNION ALL SELECT log_id, 1, 0, '… ' || count(*) FILTER (NOT head AND tail > 600 - heads) || ' lines truncated (context too large for LLM) …' FROM e WHERE long GROUP BY log_id)
 SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY part, pos) - 1 AS ord, x AS text FROM o""",
-    "prompt_paths": r"""WITH f AS (SELECT '/logs/' || doc_id || '.txt' AS path, len(string_split(text, chr(10))) AS pieces, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS n_lines FROM documents),
-p AS (SELECT conv_id || '-' || turn AS prompt_id, regexp_extract_all(text || ' see ./none.txt and /logs/' || conv_id || '.txt or /logs/' || (conv_id + turn) || '.txt', '(?m)(?:^|\s)((?:/|\.\.?/|~/|[A-Z]:\\)[\w./\\-]+)', 1) AS ps FROM conversations),
-u AS (SELECT prompt_id, unnest(ps) AS path, unnest(range(len(ps))) AS nth FROM p) SELECT prompt_id, arg_min(path, nth) AS path, arg_min(n_lines, nth) AS n_lines FROM u JOIN f USING (path) WHERE pieces >= 5 GROUP BY prompt_id""",
+    "prompt_paths": f"{_ASKED} SELECT prompt_id, path, n_lines FROM found",
+    "hook_answers": rf"""{_ASKED} SELECT conv_id || '-' || turn AS prompt_id, CASE WHEN path IS NOT NULL THEN 'UserPromptSubmit' END AS event,
+  md5('siltwork hook: `' || path || '` is a log of ' || n_lines || ' lines. Work from its reduced form below instead of the raw file; for more detail, run `python -m siltwork ' || path || ' --context 5` or raise `--budget`.' || chr(10)
+    || '--- LOG (reduced from ' || n_lines || ' lines) ---' || chr(10) || found.text || chr(10) || '---' || chr(10)) AS context_md5
+FROM conversations LEFT JOIN found ON prompt_id = conv_id || '-' || turn""",
+    "reduce_stats": f"""{_selected_sql()}{_RENDER}{_OUTPUT}, out AS ({_TEXTS}) SELECT log_id, input_records || ' lines → ' || kept_records || ' kept | tokens ' || input_tokens || ' → ' || output_tokens || ' (' || printf('%.1f', output_tokens / input_tokens * 100) || '%)' AS stats FROM out""",
+    "written_texts": f"{_selected_sql()}{_RENDER}{_OUTPUT} SELECT log_id, md5(regexp_replace(header || chr(10) || body, '\\n\\z', '')) AS text_md5 FROM texts",
+    "file_lines": f"WITH {logs.EVENTS_PLAIN_SQL} SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY pos) - 1 AS pos, line FROM lines",
     "stream_templates": f"""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, 'event ' || event_id || ' ' || upper(event_type) AS line FROM events)
 SELECT start, {_mask_sql('line')} AS template, {_SEV.format(x='line')} AS sev, count(*) AS n FROM e WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
 }
