@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siltwork.config import ReduceConfig
 from siltwork.functions import text as T
-from siltwork.operators.reduce import records, reduce_logs
+from siltwork.operators.reduce import fields, records, reduce_logs
 from siltwork.sources import logs
 
 
@@ -103,3 +103,25 @@ def test_severity(spark):
     lines = ["kernel panic", "an error", "Traceback (most recent", "warning: x", "nothing", "INFO first"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(T.infer_severity(F.col("t"))).collect()]
     assert got == [4, 3, 3, 2, 0, 0]
+
+
+def test_forced_formats(spark):
+    text = 'E0101 10:00:00.1 7 a.go:1] boom failed\n  more of it\n{"level":"warn","msg":"x"}\nlvl=error msg=y'
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    lines = logs.from_texts(df, "id", "text")
+
+    def of(fmt):
+        return [(r.raw.split("\n")[0][:5], r.sev, r.message[:11]) for r in fields(records(lines, fmt)).orderBy("idx").collect()]
+
+    assert of("plain") == [("E0101", 0, "E0101 10:00"), ("  mor", 0, "  more of i"), ('{"lev', 2, '{"level":"w'), ("lvl=e", 3, "lvl=error m")]
+    assert of("klog") == [("E0101", 3, "boom failed")]
+    assert of("json") == [("E0101", 0, "E0101 10:00"), ('{"lev', 3, '{"level":"w')]
+    assert of("logfmt")[-1] == ("lvl=e", 3, "lvl=error m")
+    assert of("syslog") == [("E0101", 3, "E0101 10:00")]
+
+
+def test_json_times_levels_and_messages(spark):
+    rows = ['{"level":"warn","ts":5,"text":"t"}', '{"severity":"FATAL","time":"x","message":"m","msg":"n"}', '{"lvl":null,"timestamp":7}', '{"level":3}', '{"a":1} x error', "[1]", '{"level":"error","level":"info"}']
+    d = spark.createDataFrame([("a", i, "json", r) for i, r in enumerate(rows)], "log_id string, idx long, format string, raw string")
+    got = [(r.sev, r.ts, r.message) for r in fields(d).orderBy("idx").collect()]
+    assert got[:5] == [(2, 5, "t"), (4, None, "m"), (0, 7, rows[2]), (0, None, rows[3]), (3, None, rows[4])] and got[5] == (0, None, "[1]")
