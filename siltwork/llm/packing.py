@@ -10,6 +10,7 @@ import os
 import string
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -201,7 +202,7 @@ def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -
     """``parts`` (with ``length``, and ``doc_id``, ``piece`` and ``row``, a number of its own, as order) with ``sequence_id`` and ``offset``.
 
     Pieces of one length are numbered in cells, so that a very common length is not sorted in one task. The
-    places of a length are ranges of these numbers: at most a few thousand rows, bounded by ``capacity``.
+    places of a length are ranges of these numbers, as many as ``capacity`` bounds.
     """
     spark = parts.sparkSession
     found = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -215,17 +216,19 @@ def place(parts: DataFrame, capacity: int = 2048, rows_per_cell: int = 50_000) -
     rows, next_rank, sequence = [], {}, 0
     for chosen, times in minimum_slack(found, capacity):
         offset = 0
-        for x in chosen:
+        for x, c in Counter(chosen).items():
             at = next_rank.get(x, 0)
-            next_rank[x] = at + times
-            rows.append((x, at, at + times, sequence, offset))
-            offset += x
+            next_rank[x] = at + times * c
+            rows.append((x, at, at + times * c, c, sequence, offset))
+            offset += x * c
         sequence += times
-    places = spark.createDataFrame(rows, "length long, __from long, __to long, __sequence long, offset long")
-    # a bin ends at least one length, so there are at most `capacity` bins of at most `capacity` pieces each, and in practice
-    # a few ranges for each length; each is a row of 40 bytes
+    places = spark.createDataFrame(rows, "length long, __from long, __to long, __each long, __sequence long, __offset long")
+    # each bin uses a length up, and its lengths differ: some sqrt(2 * capacity) of them, so there are at most capacity * sqrt(2 * capacity)
+    # rows of 48 bytes, 6 MB at a capacity of 2048; the hash join is on the length, where a few ranges stand for all ranks
     out = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))).drop(places["length"])
-    return out.withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__from")).drop("__cell", "__start", "__r", "__rank", "__from", "__to", "__sequence")
+    k = F.col("__rank") - F.col("__from")
+    out = out.withColumn("sequence_id", F.col("__sequence") + F.floor(k / F.col("__each"))).withColumn("offset", F.col("__offset") + F.pmod(k, F.col("__each")) * F.col("length"))
+    return out.drop("__cell", "__start", "__r", "__rank", "__from", "__to", "__each", "__sequence", "__offset")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
