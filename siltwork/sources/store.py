@@ -80,6 +80,8 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             for path in _LOCAL.stored.pop():
                 if out is None or path != out.stored_at:
                     _delete(spark, path)
+            # executors keep copies of broadcasts until the driver collects what referred to them; once for each call
+            spark._jvm.System.gc()
         return out
 
     return run
