@@ -86,18 +86,18 @@ def features(column) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0, seed: int = 1) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss by dual coordinate descent; ``y`` is -1 or 1. The bias is a weight."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     weight = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    norm = np.einsum("ij,ij->i", x, x).astype(np.float64)
-    alpha, w, rng = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    norm = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1
+    alpha, w, bias, rng = np.zeros(len(x)), np.zeros(x.shape[1]), 0.0, np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1
+            g = y[i] * (x[i] @ w + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0), weight[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                bias += (new - alpha[i]) * y[i]
                 alpha[i] = new
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 @dataclass
@@ -175,31 +175,38 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
     def run(batches):
         for b in batches:
-            x = features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            # most n-grams do not occur in a text: places and values of the others
+            part = [(np.flatnonzero(r).astype(np.uint16), r) for r in features(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() + r[k].tobytes() for k, r in part], pa.binary())], names=["lang", "x"])
 
     got = sample(rows, "text", "lang", per_language).mapInArrow(run, "lang string, x binary").toArrow()
-    y = got["lang"].to_pylist()
-    x = np.stack([np.frombuffer(b.as_py(), np.float32) for b in got["x"]]) if len(y) else np.zeros((0, 2 * DIM), np.float32)
-    order = sorted(range(len(y)), key=lambda i: (y[i], got["x"][i].as_py()))  # not the order of arrival
-    x, y = x[order], np.array(y, object)[order]
+    found = sorted(zip(got["lang"].to_pylist(), got["x"].to_pylist(), strict=True))  # not the order of arrival
     del got
+    x = np.zeros((len(found), 2 * DIM), np.float32)
+    for i, (_, body) in enumerate(found):
+        n = len(body) // 6
+        x[i, np.frombuffer(body, np.uint16, n)] = np.frombuffer(body, np.float32, n, 2 * n)
+    y = np.array([v for v, _ in found], object)
+    del found
     names = sorted(set(y.tolist()))
     model = Model(names, {})
     for name in names:
         model.families.setdefault(family(name), []).append(name)
     # means of n-grams are small: brought to a norm of about 1
-    scale = 1.0 / np.maximum(np.linalg.norm(x, axis=1).mean() if len(x) else 1.0, 1e-9)
+    scale = 1.0 / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)).mean() if len(x) else 1.0, 1e-9)
+    x *= np.float32(scale)
     of = np.array([family(v) for v in y], object)
     jobs = [("", a, b, of) for a, b in combinations(sorted(model.families), 2)]
     jobs += [(f, a, b, y) for f, members in sorted(model.families.items()) for a, b in combinations(members, 2)]
     weights, bias = [], []
     for node, a, b, tag in jobs:
         take = (tag == a) | (tag == b)
-        w, c = train_svm(x[take] * np.float32(scale), np.where(tag[take] == a, 1.0, -1.0))
+        w, c = train_svm(x[take], np.where(tag[take] == a, 1.0, -1.0))
         model.machines.append((node, a, b))
         weights.append(w * scale)
         bias.append(c)
+    del x
+    tidy()
     model.weights = np.stack(weights, axis=1) if weights else np.zeros((2 * DIM, 0))
     model.bias = np.array(bias)
     return model
