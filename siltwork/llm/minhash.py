@@ -7,8 +7,8 @@
    be listed. In the prefix order, values that very many classes retain come last.
 3. Round one compares each member of a list with one hub, linear in the list. Components follow. Round two
    takes the lists that still hold several components: their pairs across components, in blocks where a list is long.
-4. A pair must reach the overlap, then the estimate on the union's sketch less five standard deviations; what
-   is left is decided by exact Jaccard similarity on full sets.
+4. A pair must reach the overlap, then the estimate on the union's sketch (first on a few values, then on all, less five
+   standard deviations); what is left is decided by exact Jaccard similarity on full sets.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ def _need(n: int, k: int, share: float) -> int:
 
 
 def _broadcast(reps: DataFrame, hot: dict[int, int]):
+    """Common values with their counts, two sorted arrays; some MB."""
     keys = np.array(sorted(hot), dtype=np.int64)
     return reps.sparkSession.sparkContext.broadcast((keys, np.array([hot[x] for x in keys.tolist()], dtype=np.int64)))
 
@@ -119,20 +120,17 @@ def _listed(reps: DataFrame, k: int, share: float, known) -> DataFrame:
     return reps.select("id", "n", "sketch").mapInArrow(run, "value long, id long, m long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataFrame:
-    """The pairs whose union's sketch leaves the share possible."""
-    floor = share - 5 * math.sqrt(share * (1 - share) / k)
+#: Retained values that a first look at a pair takes, and how many must be common: similar sets of a share of 0.8 have fewer with a
+#: chance of about 1e-10.
+LOOK, COMMON = 24, 5
+
+
+def _tested(pairs: DataFrame, reps: DataFrame, share: float, test) -> DataFrame:
+    """The pairs whose sizes allow the share and whose sketches pass ``test(n, m, x, y)``."""
 
     def run(batches):
         for b in batches:
-            ok = []
-            for n, m, s, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                x, y = _values(s), _values(t)
-                union = np.union1d(x, y)
-                if n > k or m > k:
-                    union = union[:k]
-                both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
-                ok.append(both + 1 >= (floor if n > k or m > k else share) * len(union))
+            ok = [test(n, m, _values(s), _values(t)) for n, m, s, t in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
         tidy()
 
@@ -142,11 +140,33 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataFrame:
+    """The pairs whose union's sketch leaves the share possible. Pairs by chance go at a first look at a few values, so that whole
+    sketches travel for the others only."""
+
+    def look(n, m, x, y):
+        union = np.union1d(x, y)[:LOOK]
+        return len(union) < LOOK or share < 0.8 or len(np.intersect1d(np.intersect1d(x, y, True), union, True)) >= COMMON
+
+    floor = share - 5 * math.sqrt(share * (1 - share) / k)
+
+    def whole(n, m, x, y):
+        union = np.union1d(x, y)
+        if n > k or m > k:
+            union = union[:k]
+        both = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
+        return both + 1 >= (floor if n > k or m > k else share) * len(union)
+
+    short = reps.select("id", "n", F.substring("sketch", 1, 5 * LOOK).alias("sketch"))
+    near = save(_tested(pairs, short, share, look), "looked")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _tested(near, reps.join(ids, "id", "left_semi"), share, whole)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets, saved."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = save(reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), "first.id", "first.text_hash"), "classes")
-    # ids alone first, so that Spark broadcasts them while they are few, and the texts are not shuffled
+    ids = save(reps.join(ids, "id", "left_semi").select(F.col("id").alias("class"), "first.id", "first.text_hash"), "classes")    # ids alone first, so that Spark broadcasts them while they are few, and the texts are not shuffled
     some = save(ids.select("id").distinct(), "ids")
 
     def sets(batches):
@@ -271,7 +291,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     names = save(classes.select("hi", "lo", "size", "class", "first", "rows"), "names")
     every = classes.select(F.col("class").alias("id"), F.col("size").alias("n"), "sketch", "first")
     often = max(64, every.count() // 2000)
-    first = _listed(every, k, share, _broadcast(every, {})).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
+    none = _broadcast(every, {})
+    first = _listed(every, k, share, none).groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > often)
     hot = {r["value"]: r["c"] for r in first.collect()}  # at most 2000 * k values
     known = _broadcast(every, hot)
     listed = save(_listed(every, k, share, known), "lists")
@@ -293,6 +314,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     discard(whole)
     more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
+    none.unpersist()
+    known.unpersist()
     discard(rows, tested)
     links = links.unionByName(_verified(more, docs, reps, width, percent))
     discard(reps, more)
