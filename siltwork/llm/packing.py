@@ -76,10 +76,10 @@ class WordCache:
 
     A word that ends in ASCII punctuation is its head and the punctuation, which the tokenizer splits as well; heads of
     letters alone are encoded many at a time and told apart by the end-of-word mark of their last token.
-    At ``most`` words are kept; then the cache begins anew.
+    Beyond ``most`` words those that were not met again go, since most words of a corpus occur once: half of ``most`` stay at most.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer
 
@@ -90,13 +90,24 @@ class WordCache:
         self.clear()
 
     def clear(self):
-        self.known, self.flat, self.at = {}, array("I"), array("q", [0])
+        self.known, self.flat, self.at, self.again = {}, array("I"), array("q", [0]), bytearray()
 
     def add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         """``ids`` of all ``words``, and where those of each end."""
         self.known.update(zip(words, range(len(self.at) - 1, len(self.at) - 1 + len(words)), strict=True))
         self.at.frombytes((ends + self.at[-1]).astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.again.extend(bytes(len(words)))
+
+    def shrink(self) -> None:
+        """Keep what was met again since the last time, the oldest first; numbers change."""
+        words, kept = list(self.known), np.flatnonzero(np.frombuffer(self.again, np.uint8))[: self.most // 2]
+        ids, ends = self.gather(kept)
+        self.clear()
+        self.add([words[i] for i in kept.tolist()], ids, ends)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
 
     def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words by their numbers, and where those of each end."""
@@ -117,16 +128,16 @@ class WordCache:
         letters, other = [], []
         for w in sorted(fresh):
             (letters if w.decode().isalpha() else other).append(w)
-        for i in range(0, len(letters), 20_000):
-            part = letters[i : i + 20_000]
+        for i in range(0, len(letters), 5000):
+            part = letters[i : i + 5000]
             ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) == len(part) and end[-1] == len(ids):
                 self.add(part, ids, end)
             else:
                 other += part
-        for i in range(0, len(other), 4000):  # encodings are far larger than their ids
-            part = other[i : i + 4000]
+        for i in range(0, len(other), 1000):  # encodings are far larger than their ids
+            part = other[i : i + 1000]
             ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
             self.add(part, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
         ids, ends = self.gather(np.array([self.known[x] for _, h, t in split for x in (h, t)], np.int64))
@@ -136,13 +147,16 @@ class WordCache:
         # ASCII is lowered here already, unless a combining mark could compose differently or a special token arise then
         words = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split() for t in texts]
         flat = list(chain.from_iterable(words))
-        k = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        k = self.numbers(flat)
+        np.frombuffer(self.again or bytearray(1), np.uint8)[k[k >= 0]] = 1
         missing = np.flatnonzero(k < 0).tolist()
         if missing:
             new = {flat[i] for i in missing}
             if len(self.known) + len(new) > self.most:
-                self.clear()
-                new, missing = set(flat), range(len(flat))
+                self.shrink()
+                k = self.numbers(flat)
+                missing = np.flatnonzero(k < 0).tolist()
+                new = {flat[i] for i in missing}
             self.learn(new)
             k[missing] = [self.known[flat[i]] for i in missing]
         ids, end = self.gather(k)
@@ -164,14 +178,14 @@ def _cache(path: str | None) -> WordCache:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Texts by a few MB, a long one alone."""
+    """Texts by somewhat under a MB, a long one alone: lists of words take many times their bytes."""
     size, part = 0, ([], [])
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             part[0].append(i)
             part[1].append(t.as_py() or b"")
             size += len(part[1][-1])
-            if size > 2_000_000:
+            if size > 700_000:
                 yield part
                 size, part = 0, ([], [])
     if part[0]:
