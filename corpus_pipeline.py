@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm import decontaminate, language, minhash, packing, pii
-from siltwork.llm.common import NULL_ID, discard, save, table, tidied
+from siltwork.llm.common import NULL_ID, discard, marked, save, table, tidied
 
 PII_KEY = "siltwork-demo-key"
 
@@ -33,10 +33,13 @@ def _key(docs: DataFrame) -> list:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose pair of doc_id and ``text_hash`` is in ``gone``."""
-    # saved, so that Spark knows its size and broadcasts it while it is small instead of shuffling texts
+    # saved, so that Spark knows its size and broadcasts it while it is small; else only texts that may be in it are shuffled
     gone = save(gone.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
     a, b = _key(docs)
-    return docs.join(gone, (a == gone["__id"]) & (b == gone["__hash"]), "left_anti")
+    told = marked(docs, [a, b], gone, gone.count())
+    some = told.where("__may").drop("__may")
+    a, b = _key(some)
+    return told.where("not __may").drop("__may").unionByName(some.join(gone, (a == gone["__id"]) & (b == gone["__hash"]), "left_anti"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

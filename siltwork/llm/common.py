@@ -8,13 +8,13 @@ import gc
 import sys
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.sources.store import discard, stored, tidied
 
 save = stored
-__all__ = ["NULL_ID", "bound_batches", "components", "discard", "hot_bound", "meet", "release_caches", "save", "table", "tidied", "tidy"]
+__all__ = ["NULL_ID", "bound_batches", "components", "discard", "hot_bound", "marked", "meet", "release_caches", "save", "table", "tidied", "tidy"]
 
 #: Stands for a null doc_id where ids are ordered: after every other id.
 NULL_ID = 2**63 - 1
@@ -71,6 +71,23 @@ def hot_bound(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
+#: Words of 64 bits in a filter of keys, at most (some 40 MB where it is broadcast). Beyond four keys a word it tells less, never wrongly.
+MARK_WORDS = 1 << 20
+
+
+def marked(big: DataFrame, key: list[Column], keys: DataFrame, n: int, marks: int = MARK_WORDS) -> DataFrame:
+    """``big`` with a boolean ``__may``: false where ``key`` surely equals no row of ``keys``, of which there are about ``n``.
+
+    A join that follows shuffles wide rows only where it holds, whatever the number of keys: with up to four keys in each of ``marks`` words it
+    holds for some 2 % of other rows. ``keys`` is read once; equal keys have equal types.
+    """
+    words = min(max(n // 4, 1), marks)
+    where, bits = f"pmod(__h, {words}L)", "shiftleft(1L, cast(shiftrightunsigned(__h, 58) as int)) | shiftleft(1L, cast(shiftrightunsigned(__h, 52) & 63 as int))"
+    told = keys.select(F.xxhash64(*keys.columns).alias("__h")).select(F.expr(where).alias("__word"), F.expr(bits).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__told"))
+    d = big.withColumn("__h", F.xxhash64(*key)).withColumn("__word", F.expr(where)).join(F.broadcast(told), "__word", "left")
+    return d.withColumn("__may", F.expr(f"coalesce((__told & ({bits})) = ({bits}), false)")).select(*(d[c] for c in big.columns), "__may")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long): ``(id, component)`` with the smallest id reachable.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.bytehash import U, Words, blocks, column_bytes, mix
-from siltwork.llm.common import NULL_ID, bound_batches, components, discard, hot_bound, meet, release_caches, save, tidied, tidy
+from siltwork.llm.common import NULL_ID, bound_batches, components, discard, hot_bound, marked, meet, release_caches, save, tidied, tidy
 
 #: Lists up to this length give their pairs in SQL; blocks of longer lists have this many members.
 SMALL, BLOCK = 16, 2048
@@ -159,8 +159,9 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, share: float) -> DataF
 
     short = reps.select("id", "n", F.substring("sketch", 1, 5 * LOOK).alias("sketch"))
     near = save(_tested(pairs, short, share, look), "looked")
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return _tested(near, reps.join(ids, "id", "left_semi"), share, whole)
+    ids = near.select(F.explode(F.array("a", "b")).alias("id"))
+    some = marked(reps, [F.col("id")], ids, 2 * near.count()).where("__may").drop("__may")
+    return _tested(near, some.join(ids.distinct(), "id", "left_semi"), share, whole)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -174,7 +175,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in shingle_sets(b.column(2), width)], pa.binary())], names=["id", "text_hash", "s"])
         tidy()
 
-    saved = save(_keyed(docs).join(some, "id", "left_semi").mapInArrow(sets, "id long, text_hash long, s binary"), "full")
+    texts = marked(_keyed(docs), [F.col("id")], some, some.count()).where("__may").drop("__may")  # many ids: other texts are not shuffled either
+    saved = save(texts.join(some, "id", "left_semi").mapInArrow(sets, "id long, text_hash long, s binary"), "full")
     # rows that repeat a text once; then other texts with these ids go
     full = saved.dropDuplicates(["id", "text_hash"]).join(ids, ["id", "text_hash"]).select(F.col("class").alias("id"), "s")
 
@@ -207,10 +209,23 @@ def _overlap(n: np.ndarray, m: np.ndarray, k: int, share: float) -> np.ndarray:
     return np.where(low >= share * high - 1e-6, least, np.inf)
 
 
-def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> DataFrame:
-    """Pairs of different components in lists of ``value, id, label, n, m`` with enough common retained values.
+def _groups(many: DataFrame, bound: int) -> DataFrame:
+    """``value, together, id, label, n`` from lists of ``value, id, label, n, hub``: those of a hub as one group of ``n`` members under its id
+    where it has no more pairs than they have, the others as they are."""
+    members = save(many.groupBy("hub", "id").agg(F.min("label").alias("label"), F.sum("n").alias("pairs"), F.count("*").alias("rows")), "by_hub")
+    hubs = members.groupBy("hub").agg(F.count("*").alias("size"), F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
+    hubs = save(hubs.select("hub", "size", "rows", (F.col("size") * F.col("size") <= F.col("pairs")).alias("one")), "hubs_of_long")
+    one = meet(members, hubs.where("one").select("hub", F.col("size").alias("n"), "size"), "hub", bound)
+    rest = meet(many, hubs.where("not one").select("hub", F.col("rows").alias("n")), "hub", bound)
+    one = one.select(F.col("hub").alias("value"), F.lit(True).alias("together"), "id", "label", F.col("size").alias("n"))
+    return one.unionByName(rest.select("value", F.lit(False).alias("together"), "id", "label", "n"))
 
-    In long lists a pair comes from the first of the lists that both are in.
+
+def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known, bound: int) -> DataFrame:
+    """Pairs of different components in lists of ``value, id, label, n, m, hub`` with enough common retained values.
+
+    Long lists with the same hub, mostly those of one passage, are one group, unless that makes more pairs than the lists
+    have: each sketch then travels once a group. Of other long lists a pair comes from the first that both are in.
     """
     few = lists.where(F.col("n") <= SMALL).groupBy("value").agg(F.collect_list(F.struct("id", "label", "m")).alias("l"))  # at most SMALL
     x, y = F.col("x"), F.col("y")
@@ -240,20 +255,21 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
         return of
 
     def run(key, table):
-        value, i, j = (x.as_py() for x in key)
+        value, together, i, j = (x.as_py() for x in key)
         ids, labels, part, n = (table[c].to_numpy() for c in ("id", "label", "block", "n_set"))
         sketches = table["sketch"].to_pylist()
         sk = [_values(s) for s in sketches]
-        before = [(p := _prefix(s, int(m), k, share, known.value))[p < value] for s, m in zip(sketches, n, strict=True)]
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        retained, earlier = common(sk, rows, cols), common(before, rows, cols)
+        retained = common(sk, rows, cols)
+        if not together:
+            earlier = common([(p := _prefix(s, int(m), k, share, known.value))[p < value] for s, m in zip(sketches, n, strict=True)], rows, cols)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(rows), 512):
             r = rows[at : at + 512]
             ok = (labels[r][:, None] != labels[cols]) & (ids[r][:, None] < ids[cols] if i == j else True)
             if ok.any():
                 ok &= retained(r) >= _overlap(n[r][:, None], n[cols][None, :], k, share)
-            if ok.any():
+            if not together and ok.any():
                 ok &= earlier(r) == 0
             p, q = np.nonzero(ok)
             out_a.append(ids[r[p]])
@@ -261,11 +277,12 @@ def _across(lists: DataFrame, reps: DataFrame, k: int, share: float, known) -> D
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    many = lists.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = _groups(lists.where(F.col("n") > SMALL), bound).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("value", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    many = many.join(reps.select("id", "sketch", F.col("n").alias("n_set")), "id").groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
+    many = save(many.select("value", "together", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "groups")
+    some = marked(reps, [F.col("id")], many.select("id"), many.count()).where("__may").select("id", "sketch", F.col("n").alias("n_set"))
+    many = many.join(some, "id").groupBy("value", "together", "i", "j").applyInArrow(run, "a long, b long")
     return few.unionByName(many).distinct()
 
 
@@ -307,12 +324,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, k: int =
     tested = save(_estimated(star, reps, k, share), "star")
     links = _verified(tested, docs, reps, width, percent)
     labels = save(components(links), "labels")
-    rows = save(shared.join(labels.select("id", F.col("component").alias("label")), "id", "left").select("value", "id", F.coalesce("label", "id").alias("label"), "n", "m"), "labelled")
+    rows = save(shared.join(labels.select("id", F.col("component").alias("label")), "id", "left").select("value", "id", F.coalesce("label", "id").alias("label"), "n", "m", F.col("hub.id").alias("hub")), "labelled")
     discard(shared)
     mixed = rows.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m").select("value", "n")
     rows, whole = save(meet(rows, mixed, "value", bound), "mixed"), rows
     discard(whole)
-    more = _across(rows, reps, k, share, known).join(tested, ["a", "b"], "left_anti")
+    more = _across(rows, reps, k, share, known, bound).join(tested, ["a", "b"], "left_anti")
     more = save(_estimated(more, reps, k, share), "more")
     none.unpersist()
     known.unpersist()
