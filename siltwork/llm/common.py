@@ -71,8 +71,8 @@ def hot_bound(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-#: Words of 64 bits in a filter of keys, at most (some 40 MB where it is broadcast). Beyond four keys a word it tells less, never wrongly.
-MARK_WORDS = 1 << 20
+#: Words of 64 bits in a filter of keys, at most (some 50 MB where it is broadcast). Beyond four keys a word it tells less, never wrongly.
+MARK_WORDS = 1 << 19
 
 
 def marked(big: DataFrame, key: list[Column], keys: DataFrame, n: int, marks: int = MARK_WORDS) -> DataFrame:
